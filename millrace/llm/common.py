@@ -73,23 +73,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A table of a few numbers a row is broadcast up to this many rows (some 16 MB).
+BROADCAST_ROWS = 250_000
+
+
+def small(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """The frame with a broadcast hint if it, or the stored frame that it is made of, is counted to be small enough."""
+    return F.broadcast(df) if (df if counted is None else counted).count() <= BROADCAST_ROWS else df
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], salt: Column, name: str = "rank") -> DataFrame:
     """Dense 0-based rank of each row among the rows of its keys, without a task that holds all rows of a key.
 
     Rows are numbered within (keys, salt); a prefix sum over the (keys, salt) counts, one row for each, gives where
-    each salt begins. The order is by salt, then by `order`.
+    each salt begins. The order is by salt, then by `order`. The offsets are broadcast if they are BROADCAST_ROWS at
+    most, else joined by shuffle.
     """
     salted = df.withColumn("_salt", salt)
     by = [*keys, "_salt"]
     counts = salted.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(*by, (F.sum("_n").over(W.partitionBy(*keys).orderBy("_salt")) - F.col("_n")).alias("_before"))
     at = salted.withColumn("_at", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    before = stored(before, "offsets")
     named = before.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), "_before")
     same = [at[c].eqNullSafe(named[f"_k{i}"]) for i, c in enumerate(by)]
     on = same[0]
     for c in same[1:]:
         on = on & c
-    return at.join(named, on).withColumn(name, (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_salt", "_before", "_at", *(f"_k{i}" for i in range(len(by))))
+    return at.join(small(named, before), on).withColumn(name, (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_salt", "_before", "_at", *(f"_k{i}" for i in range(len(by))))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import OP6_SQL, op6_source_mixing
 from .packing import op2_best_fit_packing
+from .quality import OP7_SQL, op7_quality_rules
 from .simhash import op1_simhash_near_dedup
 
-_QUERIES = (op1_simhash_near_dedup, op2_best_fit_packing)
+_QUERIES = (op1_simhash_near_dedup, op2_best_fit_packing, op6_source_mixing, op7_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +19,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {op6_source_mixing.__name__: OP6_SQL, op7_quality_rules.__name__: OP7_SQL}

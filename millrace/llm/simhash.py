@@ -27,6 +27,9 @@ from .common import connected_components, documents, partitions, stored
 RADIUS, SHINGLE, SEED = 2, 3, 42
 BANDS, SUB_BANDS, SHARD = 4, 4, 4096
 
+#: The eight bits of each octet, most significant first.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Majority bits of the XXH64 of word shingles, as an unsigned integer; zero for no words."""
@@ -41,7 +44,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
     for at in range(0, n, 1 << 16):  # bounded memory for the longest texts
         h = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)])
-        total += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        octets = np.frombuffer(h, np.uint8).reshape(-1, 8)
+        total += np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
