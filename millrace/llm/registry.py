@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import OP9_SQL, op9_license_scan
 from .mixing import OP6_SQL, op6_source_mixing
 from .packing import op2_best_fit_packing
 from .quality import OP7_SQL, op7_quality_rules
 from .simhash import op1_simhash_near_dedup
+from .urlfilter import OP5_SQL, op5_url_filter
 
-_QUERIES = (op1_simhash_near_dedup, op2_best_fit_packing, op6_source_mixing, op7_quality_rules)
+_QUERIES = (op1_simhash_near_dedup, op2_best_fit_packing, op6_source_mixing, op7_quality_rules, op5_url_filter, op9_license_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op6_source_mixing.__name__: OP6_SQL, op7_quality_rules.__name__: OP7_SQL}
+    return {op6_source_mixing.__name__: OP6_SQL, op7_quality_rules.__name__: OP7_SQL, op5_url_filter.__name__: OP5_SQL, op9_license_scan.__name__: OP9_SQL}
