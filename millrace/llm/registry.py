@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .extract import op8_html_extraction
 from .langid import op3_language_id
 from .licenses import OP9_SQL, op9_license_scan
@@ -20,8 +22,9 @@ _QUERIES = (op1_simhash_near_dedup, op2_best_fit_packing, op3_language_id, op6_s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op6_source_mixing.__name__: OP6_SQL, op7_quality_rules.__name__: OP7_SQL, op5_url_filter.__name__: OP5_SQL, op9_license_scan.__name__: OP9_SQL}
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return whole | {op6_source_mixing.__name__: OP6_SQL, op7_quality_rules.__name__: OP7_SQL, op5_url_filter.__name__: OP5_SQL, op9_license_scan.__name__: OP9_SQL}

@@ -161,7 +161,9 @@ def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The row of smallest doc_id of each component; of repeated rows under that id one stays. Rows with a null doc_id stay."""
     part = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(part, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(part.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # ids alone are read for this
+        kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
