@@ -12,13 +12,14 @@ from .extract import op8_html_extraction
 from .langid import op3_language_id
 from .licenses import OP9_SQL, op9_license_scan
 from .mixing import OP6_SQL, op6_source_mixing
+from .neighbours import op4_nearest_neighbours
 from .packing import op2_best_fit_packing
 from .quality import OP7_SQL, op7_quality_rules
 from .simhash import op1_simhash_near_dedup
 from .suffixes import op10_suffix_array_dedup
 from .urlfilter import OP5_SQL, op5_url_filter
 
-_QUERIES = (op1_simhash_near_dedup, op2_best_fit_packing, op3_language_id, op6_source_mixing, op7_quality_rules, op5_url_filter, op8_html_extraction, op9_license_scan, op10_suffix_array_dedup)
+_QUERIES = (op1_simhash_near_dedup, op2_best_fit_packing, op3_language_id, op4_nearest_neighbours, op6_source_mixing, op7_quality_rules, op5_url_filter, op8_html_extraction, op9_license_scan, op10_suffix_array_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
