@@ -124,8 +124,8 @@ def _unpacked(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def _stretches(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Buffers of about STRETCH bytes: text number, its start in the text, start and end in the buffer of every part."""
+def _stretches(texts: list[bytes], length: int, stretch: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Buffers of about `stretch` bytes: text number, its start in the text, start and end in the buffer of every part."""
     parts: list[tuple[int, int, bytes]] = []
     size = 0
 
@@ -134,9 +134,9 @@ def _stretches(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np
         return np.frombuffer(b"".join(p for _, _, p in parts), np.uint8), np.array([i for i, _, _ in parts]), np.array([a for _, a, _ in parts]), ends - [len(p) for _, _, p in parts], ends
 
     for i, t in enumerate(texts):
-        for a in range(0, len(t) - length + 1, STRETCH):
-            part = t[a : a + STRETCH + length - 1]
-            if size and size + len(part) > STRETCH:
+        for a in range(0, len(t) - length + 1, stretch):
+            part = t[a : a + stretch + length - 1]
+            if size and size + len(part) > stretch:
                 yield made()
                 parts, size = [], 0
             parts.append((i, a, part))
@@ -171,7 +171,7 @@ def _firsts(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.n
     return c, first
 
 
-def _anchors(length: int, buckets: int):
+def _anchors(length: int, buckets: int, stretch: int):
     """(bucket, kind, blob): fragments for each bucket, and repeats settled within the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def _anchors(length: int, buckets: int):
             docs = np.array([_NULL if d is None else d for d in b.column(0).to_pylist()], np.int64)
             rows = b.column(1).to_numpy()
             found = []
-            for buffer, text, at, starts, ends in _stretches(_raw(b.column(2)), length):
+            for buffer, text, at, starts, ends in _stretches(_raw(b.column(2)), length, stretch):
                 h, f, first, n, d = fragments(buffer, starts, ends, length)
                 part = np.searchsorted(ends, first, "right")
                 found.append({"h": h, "f": f, "doc": docs[text[part]], "row": rows[text[part]], "start": at[part] + first - starts[part], "n": n, "d": d})
@@ -390,18 +390,18 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """(row, spans): runs of windows that stand earlier too, for rows of numbered docs (doc_id, _row, text)."""
+def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, stretch: int = STRETCH) -> DataFrame:
+    """(_row, _spans): runs of windows that stand earlier too, for rows of numbered docs (doc_id, _row, text)."""
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select("doc_id", "_row", "text")
-    blobs = texts.mapInArrow(_anchors(length, n), "bucket int, kind int, blob binary").repartition(n, "bucket")
+    blobs = texts.mapInArrow(_anchors(length, n, stretch), "bucket int, kind int, blob binary").repartition(n, "bucket")
     met = stored(blobs.mapInArrow(_meet(crowd), _OUT), "repeats")
     asked = met.where(F.col("kind") != MARK).groupBy("row").agg(F.collect_list(F.struct("start", "n", "h", "d", "kind")).alias("asked")).withColumnRenamed("row", "_row")
     again = texts.join(asked.hint("shuffle_hash"), "_row").select("doc_id", "_row", "text", "asked").mapInArrow(_read_again(length), "key long, doc long, row long, start long, n long, bytes binary")
     sorted_ = again.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_fragments(length), "row long, start long, n long")
     marks = stored(sorted_, "marks").union(met.where(F.col("kind") == MARK).select("row", "start", "n"))
-    return marks.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans")).withColumnRenamed("row", "_row")
+    return marks.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).withColumnRenamed("row", "_row")
 
 
 def removed_spans(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -454,10 +454,10 @@ def _with_spans(rows: DataFrame, length: int) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The columns of docs, text without the bytes that stand earlier."""
     rows = numbered(docs)
-    return _with_spans(rows, length).select(*docs.columns, "spans").mapInArrow(_texts(length, docs.columns.index("text")), docs.schema)
+    return _with_spans(rows, length).select(*docs.columns, "_spans").mapInArrow(_texts(length, docs.columns.index("text")), docs.schema)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     rows = numbered(documents(spark, sf_dir).select("doc_id", "text"))
-    return _with_spans(rows, LENGTH).select("doc_id", "text", "spans").mapInArrow(_digests(LENGTH), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(rows, LENGTH).select("doc_id", "text", "_spans").mapInArrow(_digests(LENGTH), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
