@@ -3,7 +3,8 @@
 Every document of a source is expected as often as the source's target goes into its size. The prefix sum of these
 expected copies within the source, shifted by one offset in [0, 1), passes integers; a document is emitted once for
 each that it crosses. Documents are laid out by size (its number of binary digits, then a salt, then the size
-itself), so that each stretch of the sum has short and long ones and the words taken come near the target.
+itself), so that each stretch of the sum has short and long ones. The offset is the best of DRAWS random ones: the one
+whose words taken come nearest to the target.
 
 The prefix sum is a rank times a rate, and ranks are dealt over (source, digits, salt): no task holds a source.
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents, ranked, small, stored
 
-WEIGHTS, MOST, SALTS, SEED = (1, 2, 3), 3, 256, "mix-1"
+WEIGHTS, MOST, SALTS, DRAWS, SEED = (1, 2, 3), 3, 256, 16, "mix-1"
 
 
 def word_count(text: str = "text"):
@@ -44,16 +45,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
+def _offset(draw: int):
+    """The draw-th number in [0, 1) of a source."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}-{draw}-"), F.coalesce("source", F.lit("")))), 1, 6), 16, 10).cast("double") / 16777216.0
+
+
+def _crossed(offset):
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return (F.floor((F.col("rank") + 1) * rate + offset) - F.floor(F.col("rank") * rate + offset)).cast("int")
+
+
+def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows with their rank in the layout and their source's columns of the stored table."""
+    salt = F.length(F.bin("size")) * SALTS + F.coalesce(F.pmod("doc_id", F.lit(SALTS)), F.lit(0))
+    named = targets.withColumnRenamed("source", "_source")
+    return ranked(sized, ["source"], [F.col("size"), F.col("doc_id")], salt).join(small(named, targets), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def source_offsets(sizes: DataFrame, draws: int = DRAWS) -> DataFrame:
+    """source, source_size, target and offset from rows of (doc_id, source, size): of each source's draws the one whose mix is nearest to the target."""
+    targets = stored(source_targets(sizes.select("source", "size")), "targets")
+    placed = _placed(sizes.select("doc_id", "source", "size"), targets)
+    sums = placed.groupBy("source", "source_size", "target").agg(*(F.sum(_crossed(_offset(j)) * F.col("size")).alias(f"t{j}") for j in range(draws)))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("e"), F.lit(j).alias("j"), _offset(j).alias("u")) for j in range(draws))))
+    return stored(sums.select("source", "source_size", "target", best.getField("u").alias("offset")), "offsets")
+
+
 def with_copies(docs: DataFrame, size=None) -> DataFrame:
     """docs with size, source_size, target and copies."""
     sized = docs.withColumn("size", word_count() if size is None else size)
-    targets = stored(source_targets(sized.select("source", "size")), "targets")
-    named = targets.select(F.col("source").alias("_source"), "source_size", "target", (F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce("source", F.lit("")))), 1, 6), 16, 10).cast("double") / 16777216.0).alias("_offset"))
-    salt = F.length(F.bin("size")) * SALTS + F.coalesce(F.pmod("doc_id", F.lit(SALTS)), F.lit(0))
-    placed = ranked(sized, ["source"], [F.col("size"), F.col("doc_id")], salt).join(small(named, targets), F.col("source").eqNullSafe(F.col("_source")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    crossed = F.floor((F.col("rank") + 1) * rate + F.col("_offset")) - F.floor(F.col("rank") * rate + F.col("_offset"))
-    return placed.withColumn("copies", crossed.cast("int")).drop("rank", "_source", "_offset")
+    sizes = stored(sized.select("doc_id", "source", "size"), "sizes")
+    return _placed(sized, source_offsets(sizes)).withColumn("copies", _crossed(F.col("offset"))).drop("rank", "offset")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -66,8 +88,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    sized = stored(documents(spark, sf_dir).select("doc_id", "source", word_count().alias("size")), "sizes")
-    return with_copies(sized, F.col("size")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    sizes = stored(documents(spark, sf_dir).select("doc_id", "source", word_count().alias("size")), "sizes")
+    return _placed(sizes, source_offsets(sizes)).withColumn("copies", _crossed(F.col("offset"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP6_SQL = r"""
@@ -78,10 +100,12 @@ s2 AS (SELECT *, SUM(source_size) OVER () AS total, SUM(w) OVER () - SUM(w) OVER
        FROM s1 WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST)),
 s3 AS (SELECT *, (total - before) * w > cap * left_w AS is_full FROM s2),
 s4 AS (SELECT *, COALESCE(SUM(CASE WHEN is_full THEN cap END) OVER (), 0) AS spent, SUM(CASE WHEN NOT is_full THEN w END) OVER () AS open_w FROM s3),
-t AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE CAST(w * (total - spent) AS DOUBLE) / CAST(open_w AS DOUBLE) END AS target,
-             CAST(CAST('0x' || substr(md5('mix-1' || COALESCE(source, '')), 1, 6) AS INT) AS DOUBLE) / 16777216.0 AS u FROM s4),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+t AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE CAST(w * (total - spent) AS DOUBLE) / CAST(open_w AS DOUBLE) END AS target FROM s4),
+r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
              row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * 256 + COALESCE(d.doc_id % 256, 0), d.size, d.doc_id) - 1 AS rnk
-      FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST((floor((rnk + 1) * rate + u) - floor(rnk * rate + u)) * size AS BIGINT) AS taken FROM r
+      FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT source, j, CAST(CAST('0x' || substr(md5('mix-1-' || j || '-' || COALESCE(source, '')), 1, 6) AS INT) AS DOUBLE) / 16777216.0 AS u FROM s0, (SELECT UNNEST(range(0, 16)) AS j)),
+e AS (SELECT r.source, j, u, abs(SUM((floor((rnk + 1) * rate + u) - floor(rnk * rate + u)) * size) - any_value(target)) AS e FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source GROUP BY r.source, j, u),
+b AS (SELECT source, u FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY e, j) = 1)
+SELECT doc_id, size, source_size, target, CAST((floor((rnk + 1) * rate + u) - floor(rnk * rate + u)) * size AS BIGINT) AS taken FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source
 """
