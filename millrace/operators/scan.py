@@ -72,3 +72,8 @@ def for_each_partition(df: DataFrame, callback: Callable[[Iterator[Row]], None])
 def map_partitions(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Results where the rows are: fn maps an iterator of Arrow batches to another."""
     return df.mapInArrow(fn, schema)
+
+
+def partition_rows(df: DataFrame) -> DataFrame:
+    """partition_id and n_rows of each non-empty partition: what the scheduler deals out."""
+    return df.groupBy(F.spark_partition_id().alias("partition_id")).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -50,7 +50,7 @@ def _shared(spark: SparkSession, name: str) -> str:
 
 def _csv(spark: SparkSession, sf: str, reader) -> DataFrame:
     path = _shared(spark, "millrace-csv")
-    src.write_sales_csv(_sales(spark, sf, F.col("l_orderkey") < 10_000_000_000), path)
+    src.write_sales_csv(_sales(spark, sf), path)
     return reader(spark, path)
 
 

@@ -49,22 +49,17 @@ def _number(token: Column, pattern: str, kind: str) -> Column:
 def read_csv_lenient(spark: SparkSession, path: str) -> DataFrame:
     """Lenient CSV without a single Python row.
 
-    The first line of each file is dropped whatever it holds; blank lines are skipped; fields are split at every
+    The first line of each file (that isn't blank) is dropped whatever it holds; blank lines are skipped; fields are split at every
     comma (no quoting); a row needs seven fields and more are ignored; a number is the longest valid prefix of its
     field, 0 if there is none or it is out of range; the region is taken verbatim. A zero-byte file raises
     ValueError, a header alone gives no rows, a missing path raises Spark's PATH_NOT_FOUND.
     """
     if 0 in _file_sizes(spark, path):
         raise ValueError(f"empty file: {path}")
-    # Only a split that starts its file holds the header: the text source keeps one file per split group, and
-    # block_start tells which.
-    lines = spark.read.text(path).select(
-        F.regexp_replace("value", r"[\r\n]+$", "").alias("line"), F.expr("input_file_block_start()").alias("at"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("k")
-    )
-    first = lines.where("at = 0").groupBy("file").agg(F.min("k").alias("k"))
-    tokens = F.split("line", ",")
-    body = lines.join(F.broadcast(first), ["file", "k"], "left_anti") if len(_file_sizes(spark, path)) <= 10_000 else lines.join(first, ["file", "k"], "left_anti")
-    rows = body.where(F.length("line") > 0).select(tokens.alias("t")).where(F.size("t") >= 7)
+    # One column, as the separator is a control character; a line that holds one even so is kept whole as corrupt.
+    reader = spark.read.schema("line string, whole string").option("columnNameOfCorruptRecord", "whole").option("header", True).option("sep", "\u0001").option("quote", "").option("escape", "")
+    lines = reader.csv(path).select(F.regexp_replace(F.coalesce("whole", "line"), r"[\r\n]+$", "").alias("line"))
+    rows = lines.select(F.split("line", ",").alias("t")).where(F.size("t") >= 7)
     number = {"int": INT_PREFIX, "float": FLOAT_PREFIX}
     return rows.select(*(F.col("t")[i].alias(f.name) if f.dataType.simpleString() == "string" else _number(F.col("t")[i], number[f.dataType.simpleString()], f.dataType.simpleString()).alias(f.name) for i, f in enumerate(SALES)))
 

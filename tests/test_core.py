@@ -11,6 +11,7 @@ from millrace import operators as op
 from millrace import sources as src
 from millrace.schema import SALES
 from millrace.streaming import stream_group_by_category, stream_sales_csv
+from millrace.plans.compare import compare, markdown
 from millrace.telemetry import QueryMetrics, Speedup
 
 HEADER = "TransactionID,CustomerID,Quantity,Price,Discount,CategoryID,StoreRegion"
@@ -47,11 +48,11 @@ def test_empty_and_nan(spark, five):
 
 
 def test_lenient_csv(spark, tmp_path):
-    body = ["1,83811,15,42.39,0.10,16,South", "2,5,12abc,1.5x,0.05,3,North", "3,6,,,0.05,3,North", "4,7,99999999999,2.0,0.05,3,North", "5,8,1,2.0,0.05", "6,9,1,2.0,0.05,3,West,extra", "7,10, 4,+2.0,0.05,3, East", '8,11,3.9,1e2,0.05,3,"Cen,tral"', "", "9,12,-3,nan,0.05,3,", "10,13,3,1e400,0.05,3,inf", "11,14,3,inf,0.05,3,x"]
+    body = ["1,83811,15,42.39,0.10,16,South", "2,5,12abc,1.5x,0.05,3,North", "3,6,,,0.05,3,North", "4,7,99999999999,2.0,0.05,3,North", "5,8,1,2.0,0.05", "6,9,1,2.0,0.05,3,West,extra", "7,10, 4,+2.0,0.05,3, East", '8,11,3.9,1e2,0.05,3,"Cen,tral"', "", "9,12,-3,nan,0.05,3,", "10,13,3,1e400,0.05,3,inf", "11,14,3,inf,0.05,3,x", "12,15,3,1.0,0.05,3,a\u0001b"]
     path = tmp_path / "a.csv"
     path.write_text(HEADER + "\r\n" + "\r\n".join(body))
     got = {r.transaction_id: r for r in src.read_csv_lenient(spark, str(path)).collect()}
-    assert sorted(got) == [1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
+    assert sorted(got) == [1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12]
     assert (got[2].quantity, got[2].price) == (12, 1.5)
     assert (got[3].quantity, got[3].price) == (0, 0.0)
     assert got[4].quantity == 0
@@ -61,6 +62,7 @@ def test_lenient_csv(spark, tmp_path):
     assert got[9].quantity == -3 and math.isnan(got[9].price) and got[9].store_region == ""
     assert (got[10].price, got[10].store_region) == (0.0, "inf")
     assert got[11].price == math.inf
+    assert got[12].store_region == "a\u0001b"
     (tmp_path / "h.csv").write_text(HEADER + "\n")
     assert src.read_csv_lenient(spark, str(tmp_path / "h.csv")).count() == 0
     (tmp_path / "z.csv").write_text("")
@@ -89,6 +91,7 @@ def test_scans(spark, five, tmp_path):
     op.for_each_partition(numbered, lambda rows: list(rows))
     assert op.head(numbered, 2, "row_id").count() == 2
     assert src.table_stats(five)["rows"] == 5
+    assert {r.n_rows for r in op.partition_rows(five.coalesce(1)).collect()} == {5}
     assert five.where(fn.arrow_predicate(lambda q: q > 50, "quantity")).count() == 3
 
 
@@ -115,3 +118,9 @@ def test_telemetry_and_cli(spark, five):
     assert Speedup(8.0, 2.0, 8).speedup == 4 and Speedup(8.0, 2.0, 8).efficiency == 0.5 and Speedup(1.0, 0.0, 4).speedup == 0
     assert [m.rows_matched for m in cli.run_suite(five)][:3] == [5, 0, 3]
     assert cli.parser().parse_known_args(["-d", "x", "--unknown"])[0].threads == 4
+
+
+def test_compare(spark):
+    rows = compare(spark, "/root/testdata/sf0.001", ["q01_count", "q08_filter_group"], runs=1)
+    assert [r.equal for r in rows] == [True, True]
+    assert "q08_filter_group" in markdown(rows)
