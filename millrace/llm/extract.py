@@ -5,8 +5,8 @@ sidebar, notice, advert, form or comment section (by element, role, class or id)
 link text; a block that is long enough and dense enough in stop words is text; the rest is open. In the second pass
 an open block inherits from its nearest decided neighbours: text if either side's nearest is text and, where the two
 differ, if the block is in the same container as the text side. Inside article or main only boilerplate marks and link
-density count against a block, so that short lines at an article's edge stay; outside of both, an open block without
-decided neighbours is boilerplate.
+density count against a block, so that short lines at an article's edge stay; where a class or id only hints at the main
+text, open blocks stay that are long or have no decided neighbours; elsewhere the latter are boilerplate.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one newline in
 page order. A null or empty page gives an empty text; malformed and cut-off markup is read as far as it goes; pages of
@@ -31,8 +31,11 @@ UNREAD = frozenset("script style noscript template iframe object embed svg math
 RAW = frozenset("script style iframe noscript textarea title xmp noembed noframes".split())
 BOILER = frozenset("nav header footer aside form menu dialog search fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs nav navbar navigation menu menubar header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login comment comments disqus respond share sharing social related recommended pagination pager toolbar skip copyright legal disclaimer".split())
+BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs nav navbar navigation menu menubar header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login comment comments disqus respond share sharing social related recommended pagination pager toolbar topbar topnav commentlist adsbygoogle skip copyright legal disclaimer".split())
 BODY = frozenset(("article", "main"))
+BODY_WORDS = frozenset("article main content post entry story".split())
+AD_WORDS = frozenset("ad ads advert advertisement sponsored adsbygoogle".split())
+INLINE = frozenset("span ins a".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option p".split())
 
@@ -49,19 +52,21 @@ _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)\b(?:\s*=
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 TEXT, BOILERPLATE, OPEN = 1, 0, None
+#: How sure it is that a container holds the main text: by its element, by its class or id.
+SURE, HINTED = 2, 1
 MIN_CHARS, STOP_DENSITY, LINK_DENSITY = 70, 0.2, 0.5
 
 
 class _Block:
     __slots__ = ("parts", "linked", "boiler", "body", "heading", "box")
 
-    def __init__(self, boiler: bool, body: bool, heading: bool, box: int):
+    def __init__(self, boiler: bool, body: int, heading: bool, box: int):
         self.parts, self.linked, self.boiler, self.body, self.heading, self.box = [], 0, boiler, body, heading, box
 
 
-def _marks(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether attributes mark boilerplate, and whether they hide the element."""
-    boiler = hidden = False
+def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether attributes mark boilerplate, hide the element, or hint at the main text."""
+    boiler = hidden = body = False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -69,15 +74,19 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool]:
         elif key == "role":
             boiler |= value.lower() in BOILER_ROLES
         elif key in ("class", "id") and name not in ("html", "body", "article", "main"):
-            boiler |= any(w.lower() in BOILER_WORDS for w in _WORDS.findall(value))
-    return boiler, hidden
+            words = {w.lower() for w in _WORDS.findall(value)}
+            if name in INLINE:
+                hidden |= not words.isdisjoint(AD_WORDS)
+            boiler |= not words.isdisjoint(BOILER_WORDS)
+            body |= not words.isdisjoint(BODY_WORDS)
+    return boiler, hidden, body
 
 
-def blocks(html: str) -> Iterator[tuple[str, float, bool, bool, bool, int]]:
+def blocks(html: str) -> Iterator[tuple[str, float, bool, int, bool, int]]:
     """(text, link density, boiler, body, heading, container) of each block that has text."""
     # The stack holds (element, boiler, body, unread, number); the number tells containers apart.
-    stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
-    now, at, link, boxes, out = _Block(False, False, False, 0), 0, 0, 0, []
+    stack: list[tuple[str, bool, int, bool, int]] = [("", False, 0, False, 0)]
+    now, at, link, boxes, out = _Block(False, 0, False, 0), 0, 0, 0, []
 
     def flush() -> None:
         nonlocal now
@@ -114,13 +123,13 @@ def blocks(html: str) -> Iterator[tuple[str, float, bool, bool, bool, int]]:
             now.parts.append(" ")
         if name == "a":
             link = 0 if close else 1
-        tracked = name in BLOCKS or name in UNREAD
+        tracked = name in BLOCKS or name in UNREAD or name in INLINE
         if close:
             if tracked and any(s[0] == name for s in stack):
                 while stack[-1][0] != name:
                     stack.pop()
                 stack.pop()
-                flush()
+                flush() if name in BLOCKS or name in UNREAD else None
             elif name in BLOCKS:
                 flush()
             continue
@@ -136,22 +145,27 @@ def blocks(html: str) -> Iterator[tuple[str, float, bool, bool, bool, int]]:
         if name in RAW:
             break  # an unclosed script or style runs to the end
         if name in BLOCKS:
+            while stack[-1][0] in INLINE and not stack[-1][3]:  # left open
+                stack.pop()
             if stack[-1][0] == "p" or name in CLOSED_BY_SAME and stack[-1][0] == name:
                 stack.pop()
             elif stack[-1][0] == "head":
                 stack.pop()
-        boiler, hidden = _marks(name, attrs)
-        _, was_boiler, was_body, unread, _ = stack[-1]
+        boiler, hidden, hint = _marks(name, attrs) if attrs else (False, False, False)
+        _, was_boiler, was_body, unread, box = stack[-1]
+        if name in INLINE:
+            stack.append((name, was_boiler, was_body, unread or hidden, box))
+            continue
         boxes += 1
         boiler = was_boiler or boiler or name in BOILER
-        stack.append((name, boiler, was_body or name in BODY, unread or hidden or name in UNREAD, boxes))
+        stack.append((name, boiler, SURE if name in BODY else max(was_body, HINTED if hint else 0), unread or hidden or name in UNREAD, boxes))
         if name in BLOCKS:
             flush()
     flush()
     return iter(out)
 
 
-def classify(found: list[tuple[str, float, bool, bool, bool, int]]) -> list[bool]:
+def classify(found: list[tuple[str, float, bool, int, bool, int]]) -> list[bool]:
     """Which blocks are text."""
     first = []
     for text, links, boiler, body, _, _ in found:
@@ -175,7 +189,7 @@ def classify(found: list[tuple[str, float, bool, bool, bool, int]]) -> list[bool
         if verdict is OPEN:
             sides = [j for j in (before[i], after[i]) if j is not None]
             votes = {first[j] for j in sides}
-            if found[i][3]:
+            if found[i][3] == SURE or found[i][3] == HINTED and (not sides or len(found[i][0]) >= MIN_CHARS):
                 verdict = TEXT
             elif len(votes) == 1:
                 verdict = votes.pop()

@@ -9,7 +9,7 @@ SAMPLE_WORDS commonest words of each language. Everything else reads every word
 Words are runs of letters (A-Z lower-cased, every byte beyond ASCII taken as one); one of more than MOST bytes is scored
 in runs of that many, since longer products would leave a double's range. The score is the posterior of the
 predicted language among those learned; ties go to the first by name. A null text or one without a letter is `und`
-with score 0, as is everything if nothing could be learned. Repeated rows are judged alike; extra columns are ignored.
+with score 0, as is everything if nothing could be learned. A null doc_id counts as held out. Repeated rows are judged alike; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -104,6 +104,8 @@ HTML = [
     (f"<article><h1>T &amp; U</h1><p>{LONG}<p>Tail.<br>x</article><footer>&copy; {LONG}</footer>", f"T & U\n{LONG}\nTail. x"),
     (f"<body><div class='site-header'><p>{LONG}</div><main><p>{LONG}</p><aside>{LONG}</aside></main><div id=cookie-banner>{LONG}</div><section class=comments><p>{LONG}</section>", LONG),
     (f"<div class=ad>{LONG}</div><div><p>{LONG}</p><p>short</p></div><ul><li><a href=x>{LONG}</a></ul><form><p>{LONG}</form>", f"{LONG}\nshort"),
+    (f"<div class='page-header'>x</div><div id='content'><p>{LONG}</p><p>a <span class='ad'>buy</span> <span>b</span> <a href=x>c</a></p><ins class=adsbygoogle>no</ins></div><ol class=commentlist><li>{LONG}</ol>", f"{LONG}\na b c"),
+    ("<div class='post'><p>Only short.</p><p>Lines here.</p></div>", "Only short.\nLines here."),
     (None, ""), ("", ""), ("<", "") , ("<p>&am", ""), ("<!-- never closed <p>x", ""), ("<script>var a = '<article>'", ""), (f"<article><script>var x='</p>';</script><p>{LONG}<style>p{{}}</style> y&nbsp; z", f"{LONG} y z"),
     (f"<article><p hidden>no<p style='display: none'>no<p>{LONG}</article", LONG), ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("<article>" + "word " * 50_000, ("word " * 50_000).strip()),
 ]
