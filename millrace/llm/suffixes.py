@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, stored
 
 LENGTH, K = 100, 32
-CROWD, CHUNK, BLOCK, STRETCH = 512, 8, 4 << 20, 1 << 21
+CROWD, CHUNK, BLOCK, STRETCH = 512, 8, 1 << 20, 1 << 21
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -387,6 +387,7 @@ def _sort_fragments(length: int):
 
 
 def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row. They are read several times, so docs should be a scan of files, whose numbers are the same each time; store anything else first."""
     return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
