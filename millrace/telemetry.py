@@ -60,9 +60,3 @@ class Timer:
 def force(df: DataFrame) -> None:
     """Run the whole plan and discard its rows where they are made."""
     df.write.format("noop").mode("overwrite").save()
-
-
-#: Which number a suite query reports as matched: its count, the rows of its selection, or the whole table.
-MATCHED_BY_COUNT = {"q01_count", "q03_filter_agg", "q06_filter_count", "q07_conj_agg"}
-MATCHED_ALL = {"q04_group", "q09_net_all"}
-SELECTIONS = {"q02_filter_conj": "quantity > 25 AND category_id = 10", "q05_net_cat": "category_id = 1", "q08_filter_group": "quantity > 25", "q10_qty_cat": "category_id = 20"}
