@@ -26,8 +26,9 @@ from .common import documents, partitions, ranked, stored
 
 CAPACITY, END_ID = 2048, 0
 #: Lower-case ASCII and Latin-1 letters, then marks that no such word joins: the tokenizer splits between the two.
-_PLAIN = regex.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([.,;:!?|]*)")
-_CACHE = 500_000
+_PLAIN = regex.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+_MARKS = b".,;:!?|"
+_CACHE = 800_000
 _END = "</w>"
 
 
@@ -48,6 +49,7 @@ class WordTokens:
             self.ends[i] = token.endswith(_END)
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -66,19 +68,21 @@ class WordTokens:
                 self.words[w] = raw[a:b]
                 a = b
 
-    def learn(self, chunks: set[bytes]) -> None:
-        split = {c: m.groups() for c in chunks if (m := _PLAIN.fullmatch(c))}
-        if len(self.words) > _CACHE:
-            self.words.clear()
-        self._learn_words([w for w in {w for w, _ in split.values()} if w not in self.words])
+    def learn(self, chunks: list[bytes]) -> None:
+        split, odd = [], []
         for c in chunks:
-            if c in split:
-                word, marks = split[c]
-                if marks and marks not in self.chunks:
-                    self.chunks[marks] = self._ids(marks.decode())
-                self.chunks[c] = self.words[word] + (self.chunks[marks] if marks else b"")
+            word = c.rstrip(_MARKS)
+            if word.isalpha() or _PLAIN.fullmatch(word):
+                split.append((c, word, c[len(word) :]))
             else:
-                self.chunks[c] = self._ids(c.decode("utf-8", "replace"))
+                odd.append(c)
+        if len(self.words) > _CACHE:
+            self.words.clear()
+        self._learn_words(list({w for _, w, _ in split if w not in self.words}))
+        for marks in {m for _, _, m in split if m not in self.marks}:
+            self.marks[marks] = self._ids(marks.decode())
+        self.chunks.update([(c, self.words[w] + self.marks[m]) for c, w, m in split])
+        self.chunks.update([(c, self._ids(c.decode("utf-8", "replace"))) for c in odd])
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         if len(self.chunks) > _CACHE:
@@ -90,11 +94,13 @@ class WordTokens:
                 yield self._ids(text)
                 continue
             chunks = text.encode("utf-8", "replace").lower().split()
-            try:
-                yield b"".join([known[c] for c in chunks])
-            except KeyError:
-                self.learn({c for c in chunks if c not in known})
-                yield b"".join([known[c] for c in chunks])
+            found = list(map(known.get, chunks))
+            if None in found:
+                new = [i for i, ids in enumerate(found) if ids is None]
+                self.learn(list({chunks[i] for i in new}))
+                for i in new:
+                    found[i] = known[chunks[i]]
+            yield b"".join(found)
 
 
 _tokens: dict[str, WordTokens] = {}
