@@ -12,7 +12,9 @@ fragment of a text, about one for 35 bytes. Fragments travel as two hashes and a
   common prefixes of `length` bytes give the groups of equal windows, and all but a group's earliest are repeats.
 
 An anchor with more than CROWD contents is dealt again: eight neighbouring windows share `length` - 7 bytes, whose hash
-is the key under which they meet. A task sorts whole keys, some BLOCK bytes at a time.
+is the key under which they meet; with more than HORDE contents every window has a key of its own. Equal contents of a key
+are settled in each batch before they are shuffled and again as a task reads them, so a task holds the different
+contents of a key, HORDE at most, and sorts whole keys, some BLOCK bytes at a time.
 
 A null text is empty; texts shorter than `length` lose nothing; among rows of one doc_id the one read first is the
 earlier; a null doc_id comes last. Texts of any length are cut into overlapping stretches for hashing only. Spans may
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, stored
 
 LENGTH, K = 100, 32
-CROWD, CHUNK, BLOCK, STRETCH = 512, 8, 1 << 20, 1 << 21
+CROWD, HORDE, CHUNK, BLOCK, STRETCH = 512, 8192, 8, 1 << 20, 1 << 21
+DOCS = 500
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -150,7 +153,7 @@ def _raw(column: pa.Array) -> list[bytes]:
 
 
 _OUT = "row long, start long, n long, h long, d int, kind int"
-MARK, ASK, ASK_CROWD = 0, 1, 2
+MARK, ASK, ASK_CROWD, ASK_HORDE = 0, 1, 2, 3
 
 
 def _batch(columns: dict[str, np.ndarray], kind: int) -> pa.RecordBatch:
@@ -199,7 +202,7 @@ def _anchors(length: int, buckets: int, stretch: int):
     return run
 
 
-def _meet(crowd: int):
+def _meet(crowd: int, horde: int):
     """What a task's buckets settle: repeats as wholes (MARK), and fragments to be read again (ASK)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,34 +227,55 @@ def _meet(crowd: int):
         _, at, contents = np.unique(c["h"], return_inverse=True, return_counts=True)
         contents = contents[at]
         yield _batch(_take(c, (contents > 1) & (contents <= crowd)), ASK)
-        yield _batch(_take(c, contents > crowd), ASK_CROWD)
+        yield _batch(_take(c, (contents > crowd) & (contents <= horde)), ASK_CROWD)
+        yield _batch(_take(c, contents > max(crowd, horde)), ASK_HORDE)
 
     return run
 
 
+def _cut(a: dict, text: bytes, length: int) -> Iterator[tuple[int, int, int]]:
+    """(key, start, windows) of the parts that a fragment asked for is read in."""
+    s, n, d = a["start"], a["n"], a["d"]
+    if a["kind"] == ASK:
+        yield a["h"], s, n
+        return
+    chunk = CHUNK if a["kind"] == ASK_CROWD else 1
+    for j in range((d - n + 1) // chunk, d // chunk + 1):
+        hi, lo, shared = min(d, chunk * j + chunk - 1), max(d - n + 1, chunk * j), s + d - chunk * j
+        digest = hashlib.blake2b(text[shared : shared + length - chunk + 1], digest_size=8, key=b"%d" % j).digest()
+        yield int.from_bytes(digest, "little", signed=True), s + d - hi, hi - lo + 1
+
+
 def _read_again(length: int):
-    """(key, doc, row, start, n, bytes) of the fragments asked for; a crowd's are cut by window offset and keyed by what its windows share."""
+    """(key, doc, row, start, n, bytes) of the parts of the fragments asked for; without bytes where an equal part of the batch stands earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, row, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _raw(b.column(2)), b.column(3).to_pylist(), strict=True):
-                doc = _NULL if doc is None else doc
-                for a in asked:
-                    s, n, d = a["start"], a["n"], a["d"]
-                    if a["kind"] == ASK:
-                        out.append((a["h"], doc, row, s, n, text[s : s + n + length - 1]))
-                        continue
-                    for j in range((d - n + 1) // CHUNK, d // CHUNK + 1):
-                        hi, lo = min(d, CHUNK * j + CHUNK - 1), max(d - n + 1, CHUNK * j)
-                        s2, n2, shared = s + d - hi, hi - lo + 1, s + d - CHUNK * j
-                        key = int.from_bytes(hashlib.blake2b(text[shared : shared + length - CHUNK + 1], digest_size=8, key=b"%d" % j).digest(), "little", signed=True)
-                        out.append((key, doc, row, s2, n2, text[s2 : s2 + n2 + length - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(),) * 5 + (pa.binary(),))], ["key", "doc", "row", "start", "n", "bytes"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCS):
+                b, out = whole.slice(at, DOCS), []
+                first: dict[tuple[int, bytes], int] = {}
+                for doc, row, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _raw(b.column(2)), b.column(3).to_pylist(), strict=True):
+                    doc = _NULL if doc is None else doc
+                    for key, s, n in (x for a in asked for x in _cut(a, text, length)):
+                        _earliest(first, out, [key, doc, row, s, n, text[s : s + n + length - 1]])
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(),) * 5 + (pa.binary(),))], ["key", "doc", "row", "start", "n", "bytes"])
 
     return run
 
 
+def _earliest(first: dict[tuple[int, bytes], int], out: list[list], part: list) -> None:
+    """Add a part to out; of two with the same key and bytes the later one loses its bytes."""
+    same = part[0], part[5]
+    at = first.setdefault(same, len(out))
+    if at < len(out):
+        if part[1:4] < out[at][1:4]:
+            out[at][5] = None
+            first[same] = len(out)
+        else:
+            part[5] = None
+    out.append(part)
+
+
 def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     """The suffix array to the first `depth` symbols; symbols are 0..256 and end with a 0.
 
@@ -364,8 +388,11 @@ def repeated_windows(doc: np.ndarray, row: np.ndarray, start: np.ndarray, count:
 
 
 def _sort_fragments(length: int):
+    """Rows sorted by key. Of equal parts of a key one is held, the earliest so far; the others are repeats as wholes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list] = []
+        first: dict[bytes, int] = {}
         size, last = 0, None
 
         def settled() -> pa.RecordBatch:
@@ -373,13 +400,27 @@ def _sort_fragments(length: int):
             return pa.RecordBatch.from_arrays([pa.array(c) for c in repeated_windows(doc, row, start, n, [x[5] for x in held], length)], ["row", "start", "n"])
 
         for b in batches:
-            for x in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if size >= BLOCK and x[0] != last:
-                    yield settled()
-                    held, size = [], 0
-                held.append(x)
-                size += len(x[5])
-                last = x[0]
+            marks = []
+            for x in map(list, zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)):
+                if x[5] is None:
+                    marks.append(x)
+                    continue
+                if x[0] != last:
+                    if size >= BLOCK:
+                        yield settled()
+                        held, size = [], 0
+                    first, last = {}, x[0]
+                at = first.setdefault(x[5], len(held))
+                if at == len(held):
+                    held.append(x)
+                    size += len(x[5])
+                elif x[1:4] < held[at][1:4]:
+                    marks.append(held[at])
+                    held[at] = x
+                else:
+                    marks.append(x)
+            if marks:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in marks], pa.int64()) for i in (2, 3, 4)], ["row", "start", "n"])
         if held:
             yield settled()
 
@@ -391,13 +432,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, stretch: int = STRETCH) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, stretch: int = STRETCH, horde: int = HORDE) -> DataFrame:
     """(_row, _spans): runs of windows that stand earlier too, for rows of numbered docs (doc_id, _row, text)."""
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select("doc_id", "_row", "text")
     blobs = texts.mapInArrow(_anchors(length, n, stretch), "bucket int, kind int, blob binary").repartition(n, "bucket")
-    met = stored(blobs.mapInArrow(_meet(crowd), _OUT), "repeats")
+    met = stored(blobs.mapInArrow(_meet(crowd, horde), _OUT), "repeats")
     asked = met.where(F.col("kind") != MARK).groupBy("row").agg(F.collect_list(F.struct("start", "n", "h", "d", "kind")).alias("asked")).withColumnRenamed("row", "_row")
     again = texts.join(asked.hint("shuffle_hash"), "_row").select("doc_id", "_row", "text", "asked").mapInArrow(_read_again(length), "key long, doc long, row long, start long, n long, bytes binary")
     sorted_ = again.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_fragments(length), "row long, start long, n long")

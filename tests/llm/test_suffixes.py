@@ -67,11 +67,11 @@ def test_prefixes():
         assert got[k] == next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y))) or got[k] >= min(len(x), len(y))
 
 
-@pytest.mark.parametrize(("crowd", "stretch"), [(512, 1 << 21), (1, 300)])
-def test_against_brute_force(sp, crowd, stretch):
+@pytest.mark.parametrize(("crowd", "stretch", "horde"), [(512, 1 << 21, 8192), (1, 300, 8192), (1, 300, 1), (2, 1 << 21, 5)])
+def test_against_brute_force(sp, crowd, stretch, horde):
     rows = corpus(crowd)
     d = numbered(sp.createDataFrame(rows, "doc_id long, text string").repartition(5))
-    out = d.join(suffixes.repeats(d, 100, crowd, stretch), "_row", "left").select("doc_id", "text", "_spans").mapInArrow(suffixes._digests(100), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = d.join(suffixes.repeats(d, 100, crowd, stretch, horde), "_row", "left").select("doc_id", "text", "_spans").mapInArrow(suffixes._digests(100), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     assert sorted(map(tuple, out.collect())) == brute(rows)
 
 
