@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, documents, partitions, stored
+from .copies import keep_one_of_each  # noqa: F401
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 BANDS, SUB_BANDS, SHARD = 4, 4, 4096
@@ -158,15 +159,6 @@ def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     return of.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of smallest doc_id of each component; of repeated rows under that id one stays. Rows with a null doc_id stay."""
-    part = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(part.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # ids alone are read for this
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
-
-
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id for every document."""
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
