@@ -1,6 +1,9 @@
 """License scan: phrase places, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template is found in a block if the block holds at least `threshold` of the template's distinct
+A block is a line, or a passage of as many consecutive words as a template has that may run over lines (not over one
+without words, as between paragraphs; comment marks are no words), so that notices wrapped over lines are found; such
+a passage is held against templates of its length or longer ones only. OP9_SQL knows the lines alone: on texts with
+wrapped notices the operator finds more than it. A template is found in a block if the block holds at least `threshold` of the template's distinct
 words. Words are put in one global order, rarest in the corpus first, and three filters leave few pairs to verify:
 length (a block needs as many template words as the least that the threshold asks for), prefix (overlap of a needs one
 of the first |T| - a + 1 words of the template among the first |B| - a + 1 of the block) and position (what is left of
@@ -75,7 +78,7 @@ def least_overlap(n: int, threshold: float) -> int:
 
 
 def template_matches(scanned: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """row_id, label, containment of every block and template that meet the threshold; scanned has row_id and blocks (arrays of distinct template words)."""
+    """row_id, label, containment of every block and template that meet the threshold; scanned has row_id and blocks (b, an array of distinct template words, and width, the words of a passage or 0 for a line)."""
     spark = scanned.sparkSession
     sets = {t: sorted(set(t.split(" "))) for t in templates}
     counted = {r.w: r.n for r in scanned.select(F.explode("vocabulary").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -84,19 +87,44 @@ def template_matches(scanned: DataFrame, templates: dict[str, str], threshold: f
     rows = []
     for t, words in sets.items():
         tokens, a = sorted(place[w] for w in words), least_overlap(len(words), threshold)
-        rows += [(k, p, a, len(tokens), tokens, templates[t]) for p, k in enumerate(tokens[: len(tokens) - a + 1])]
-    prefixes = F.broadcast(spark.createDataFrame(rows, "token int, t_at int, need int, t_size int, t_tokens array<int>, label string"))
+        rows += [(k, p, a, len(t.split(" ")), len(tokens), tokens, templates[t]) for p, k in enumerate(tokens[: len(tokens) - a + 1])]
+    prefixes = F.broadcast(spark.createDataFrame(rows, "token int, t_at int, need int, t_words int, t_size int, t_tokens array<int>, label string"))
     at = F.lit(order)
-    blocks = scanned.where(F.size("blocks") > 0).select("row_id", F.explode("blocks").alias("b")).select("row_id", F.array_sort(F.transform("b", lambda w: F.array_position(at, w).cast("int"))).alias("b"))
-    pairs = blocks.select("row_id", "b", F.posexplode("b").alias("b_at", "token")).join(prefixes, "token")
+    blocks = scanned.where(F.size("blocks") > 0).select("row_id", F.explode("blocks").alias("s")).select("row_id", "s.width", F.array_sort(F.transform("s.b", lambda w: F.array_position(at, w).cast("int"))).alias("b"))
+    pairs = blocks.select("row_id", "width", "b", F.posexplode("b").alias("b_at", "token")).join(prefixes, "token")
     # The first token that both prefixes share decides a pair, so it is verified once.
     meet = F.col("b_at") <= F.size("b") - F.col("need")
     left = F.least(F.size("b") - F.col("b_at"), F.col("t_size") - F.col("t_at")) >= F.col("need")
     both = F.array_intersect("b", "t_tokens")
-    same = pairs.where((F.size("b") >= F.col("need")) & meet & left).where((both[0] == F.col("token")) & (F.size(both) >= F.col("need")))
+    same = pairs.where((F.size("b") >= F.col("need")) & (F.col("width") <= F.col("t_words")) & meet & left).where((both[0] == F.col("token")) & (F.size(both) >= F.col("need")))
     return same.select("row_id", "label", (F.size(both) / F.col("t_size")).alias("containment"))
 
 
+def wrapped_blocks(cut: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """cut (text, vocabulary) with wrapped, the passages that hold enough of some template's words."""
+    sets = [(len(t.split(" ")), sorted(set(t.split(" ")))) for t in templates]
+    longest = max(n for n, _ in sets)
+
+    def enough(words, t: list[str]):
+        return F.size(F.array_intersect(words, F.lit(t))) >= least_overlap(len(t), threshold)
+
+    def line(x):
+        words = F.filter(F.split(x, f"{OUT}+"), lambda w: w != "")
+        return F.when(F.size(words) > 0, words).otherwise(F.array_repeat(F.lit(""), longest))  # no passage spans it
+
+    def passages(n: int, t: list[str]):
+        starts = F.filter(F.sequence(F.lit(1), F.size("stream")), lambda i: F.array_contains(F.lit(t), F.element_at("stream", i)))
+        found = F.filter(F.transform(starts, lambda i: F.array_sort(F.array_intersect(F.slice("stream", i, F.lit(n)), F.lit(t)))), lambda b: F.size(b) >= least_overlap(len(t), threshold))
+        return F.when(F.col("stream").isNotNull() & enough("vocabulary", t), F.transform(F.array_distinct(found), lambda b: F.struct(b.alias("b"), F.lit(n).alias("width"))))
+
+    # A text that lacks the words of every template as a whole has no passage either; few texts are looked at further.
+    some = F.lit(False)
+    for _, t in sets:
+        some = some | enough("vocabulary", t)
+    stream = cut.withColumn("stream", F.when(some, F.flatten(F.transform(F.split(F.translate("text", UPPER, LOWER), "\n"), line))))
+    return stream.withColumn("wrapped", F.flatten(F.array_compact(F.array(*(passages(n, t) for n, t in sets))))).drop("stream")
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base (labels of phrases), found (labels of both), score."""
     sets = [set(t.split(" ")) for t in templates]
@@ -107,8 +135,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     words = F.transform(lines, lambda x: F.array_intersect(F.split(F.translate(x, UPPER, LOWER), f"{OUT}+"), ours))
     base = base_scan(docs.withColumn("row_id", F.monotonically_increasing_id()), phrases, ["row_id", "doc_id"])
     seen = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(rf"(?i)(?<!{IN})(?:{'|'.join(union)})(?!{IN})"), F.lit(0)))
-    cut = base.withColumns({"blocks": words, "vocabulary": F.array_distinct(F.transform(seen, lambda w: F.lower(w)))}).drop("text")
-    scanned = stored(cut.withColumn("blocks", F.filter("blocks", lambda b: F.size(b) >= least)), "scan")
+    cut = wrapped_blocks(base.withColumns({"blocks": words, "vocabulary": F.array_distinct(F.transform(seen, lambda w: F.lower(w)))}), templates, threshold).drop("text")
+    single = F.transform(F.filter("blocks", lambda b: F.size(b) >= least), lambda b: F.struct(b.alias("b"), F.lit(0).alias("width")))
+    scanned = stored(cut.withColumn("blocks", F.concat(single, "wrapped")).drop("wrapped"), "scan")
     best = template_matches(scanned, templates, threshold).groupBy("row_id").agg(F.max("containment").alias("score"), F.collect_set("label").alias("more"))
     out = scanned.select("row_id", "doc_id", "n_words", "n_base", "first_word", "last_word", "base").join(best, "row_id", "left")
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base", F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))).alias("found"), F.coalesce("score", F.lit(0.0)).alias("score"))
