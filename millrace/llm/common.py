@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,8 +48,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that spark.checkpoint.dir names; a temporary folder only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """A fresh path in the shared folder that spark.checkpoint.dir names. Where it is unset, a local session takes a temporary folder; a cluster has none that all can read."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -73,20 +78,68 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: A table of a few numbers a row is broadcast up to this many rows (some 16 MB).
-BROADCAST_ROWS = 250_000
+#: A table is broadcast up to this size in memory.
+BROADCAST_BYTES = 16 << 20
 
 
 def small(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
-    """The frame with a broadcast hint if it, or the stored frame that it is made of, is counted to be small enough."""
-    return F.broadcast(df) if (df if counted is None else counted).count() <= BROADCAST_ROWS else df
+    """The frame with a broadcast hint if it, or the stored frame that it is made of, is measured to be small enough."""
+    of = df if counted is None else counted
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in of.schema if f.dataType.typeName() in ("string", "binary")]
+    row = F.lit(24 + 8 * len(of.columns))
+    for t in texts:
+        row = row + t
+    return F.broadcast(df) if (of.agg(F.sum(row.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+_PLAIN = ("LogicalRelation", "Project", "Filter", "SubqueryAlias")
+
+
+def _scan_of_files(df: DataFrame) -> bool:
+    """Whether the rows are rows of Parquet files, selected and renamed at most."""
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in _PLAIN or not node.deterministic():
+            return False
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return "_metadata" not in df.columns
+
+
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """The frame with a number for each row, the same in every job that reads it.
+
+    A row's number is its file's (files in the order of their paths) and its place in the file, neither of which depends
+    on how files are dealt to tasks. What isn't a plain scan of Parquet files is stored first.
+    """
+    whole = df if _scan_of_files(df) else stored(df, "numbered")
+    held = whole.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    names = held.select("_file").distinct().withColumn("_no", F.row_number().over(W.orderBy("_file")) - 1)
+    files = stored(names.withColumnRenamed("_file", "_path"), "files")
+    return held.join(small(files), F.col("_file") == F.col("_path")).select(*df.columns, (F.shiftleft(F.col("_no").cast("long"), 40) + F.col("_place")).alias(name))
+
+
+def renamed(df: DataFrame, *keep: str) -> DataFrame:
+    """The frame with all columns but those to keep under names that clash with nothing; df.columns restores them by toDF."""
+    return df.toDF(*(c if c in keep else f"_own{i}" for i, c in enumerate(df.columns)))
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """The size of what a frame reads, as the optimizer knows it: for scans that of their files; no job is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], salt: Column, name: str = "rank") -> DataFrame:
     """Dense 0-based rank of each row among the rows of its keys, without a task that holds all rows of a key.
 
     Rows are numbered within (keys, salt); a prefix sum over the (keys, salt) counts, one row for each, gives where
-    each salt begins. The order is by salt, then by `order`. The offsets are broadcast if they are BROADCAST_ROWS at
+    each salt begins. The order is by salt, then by `order`. The offsets are broadcast if they are BROADCAST_BYTES at
     most, else joined by shuffle.
     """
     salted = df.withColumn("_salt", salt)

@@ -2,23 +2,27 @@
 
 Suffixes are sorted where equal windows are sure to meet. Of every window of `length` bytes the K-gram of least hash (the
 leftmost, if several) is its anchor: equal windows have equal anchors at equal offsets. The windows of one anchor make a
-fragment of a text, about one for 35 bytes. Fragments travel as two hashes and a place, first, anchor by anchor:
+fragment of a text, about one for 35 bytes. Hashes only bring fragments together, bytes decide:
 
-* A fragment whose whole content stands earlier is a repeat as a whole. Within a batch that is settled before
-  anything is shuffled, so a passage that a third of all rows share leaves each batch once.
-* An anchor with one fragment content only needs nothing more; most end here.
-* Where an anchor has several contents, the first place of each is read again as bytes, and the suffixes of these
-  fragments are sorted: those smaller than their successors directly, the rest by scans of the 257 buckets. Adjacent
-  common prefixes of `length` bytes give the groups of equal windows, and all but a group's earliest are repeats.
+* Fragments travel first as two hashes and a place, bucket by bucket. An anchor with one place needs nothing more; most
+  end here. A fragment whose bytes stand earlier in its batch is settled there, so a passage that a third of all rows
+  share leaves each batch once.
+* All fragments whose anchor has several places are read again as bytes. Of equal ones the first represents them, the
+  others are repeats as wholes. Where a key has several contents, the suffixes of their representatives are sorted:
+  those smaller than their successors directly, the rest by scans of the 257 buckets. Adjacent common prefixes of
+  `length` bytes give the groups of equal windows, and all but a group's earliest are repeats.
 
 An anchor with more than CROWD contents is dealt again: eight neighbouring windows share `length` - 7 bytes, whose hash
 is the key under which they meet; with more than HORDE contents every window has a key of its own. Equal contents of a key
 are settled in each batch before they are shuffled and again as a task reads them, so a task holds the different
 contents of a key, HORDE at most, and sorts whole keys, some BLOCK bytes at a time.
 
-A null text is empty; texts shorter than `length` lose nothing; among rows of one doc_id the one read first is the
-earlier; a null doc_id comes last. Texts of any length are cut into overlapping stretches for hashing only. Spans may
-cut through a character; text() drops the bytes of characters that are not whole any more. Extra columns pass through.
+Buckets grow in number with the input and a task holds one at a time, so memory does not grow with the corpus.
+
+A null text is empty; texts shorter than `length` lose nothing; rows of one doc_id (repeated rows too) are in the order of
+their files' paths and places; a null doc_id comes last. Texts of any length are cut into overlapping stretches for
+hashing only. Spans may cut through a character; without_repeats drops the bytes of characters that are not whole any
+more. Extra columns pass through under any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, stored
+from .common import documents, numbered, partitions, renamed, scan_bytes, stored
 
 LENGTH, K = 100, 32
 CROWD, HORDE, CHUNK, BLOCK, STRETCH = 512, 8192, 8, 1 << 20, 1 << 21
+#: Bytes of the table's files for each bucket of fragments.
+BUCKET = 4 << 20
 DOCS = 500
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BASE = 0xD1342543DE82EF95
@@ -174,28 +180,43 @@ def _firsts(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.n
     return c, first
 
 
+def _differ(c: dict[str, np.ndarray], first: np.ndarray, raw: list[bytes], length: int) -> np.ndarray:
+    """Fragments that differ in bytes from the first of their hashes."""
+    later = np.flatnonzero(~first)
+    of = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))[later]
+
+    def read(at: np.ndarray) -> Iterator[bytes]:
+        for t, s, n in zip(c["text"][at].tolist(), c["start"][at].tolist(), c["n"][at].tolist(), strict=True):
+            yield raw[t][s : s + n + length - 1]
+
+    differ = np.zeros(len(first), bool)
+    differ[later] = np.fromiter((x != y for x, y in zip(read(later), read(of), strict=True)), bool, len(later))
+    return differ
+
+
 def _anchors(length: int, buckets: int, stretch: int):
     """(bucket, kind, blob): fragments for each bucket, and repeats settled within the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs = np.array([_NULL if d is None else d for d in b.column(0).to_pylist()], np.int64)
-            rows = b.column(1).to_numpy()
+            rows, raw = b.column(1).to_numpy(), _raw(b.column(2))
             found = []
-            for buffer, text, at, starts, ends in _stretches(_raw(b.column(2)), length, stretch):
+            for buffer, text, at, starts, ends in _stretches(raw, length, stretch):
                 h, f, first, n, d = fragments(buffer, starts, ends, length)
                 part = np.searchsorted(ends, first, "right")
-                found.append({"h": h, "f": f, "doc": docs[text[part]], "row": rows[text[part]], "start": at[part] + first - starts[part], "n": n, "d": d})
+                found.append({"h": h, "f": f, "doc": docs[text[part]], "row": rows[text[part]], "start": at[part] + first - starts[part], "n": n, "d": d, "text": text[part]})
             if not found:
                 continue
             c, first = _firsts({k: np.concatenate([x[k] for x in found]) for k in found[0]})
+            first |= _differ(c, first, raw, length)
             kept, again = _take(c, first), _take(c, ~first)
             # In the order of the texts places are long runs that compress well.
             kept = _take(kept, np.lexsort((kept["start"], kept["row"])))
             bucket = (kept["h"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [(i, 1, _packed(kept, order[cuts[i] : cuts[i + 1]])) for i in range(buckets) if cuts[i] < cuts[i + 1]]
+            filled, begin = np.unique(bucket[order], return_index=True)
+            out = [(int(i), 1, _packed(kept, order[a:e])) for i, a, e in zip(filled, begin, [*begin[1:], len(order)], strict=True)]
             out += [(int(rows[0]) % buckets, 0, _packed(again, slice(None)))] if len(again["row"]) else []
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "blob"])
 
@@ -203,33 +224,36 @@ def _anchors(length: int, buckets: int, stretch: int):
 
 
 def _meet(crowd: int, horde: int):
-    """What a task's buckets settle: repeats as wholes (MARK), and fragments to be read again (ASK)."""
+    """Rows sorted by bucket: repeats that their batch has settled (MARK), and fragments to be read again (ASK)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for b in batches:
-            for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if kind:
-                    held.append(_unpacked(blob))
-                else:
-                    yield _batch(_unpacked(blob), MARK)
-        if not held:
-            return
+    def asked(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([x["h"] for x in held])
         order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
         shared = np.zeros(len(h), bool)
         shared[order[1:][same]] = shared[order[:-1][same]] = True
         c, first = _firsts(_take({k: np.concatenate([x[k] for x in held]) for k, _ in _FIELDS}, shared))
-        del held
-        yield _batch(_take(c, ~first), MARK)
-        c = _take(c, first)
-        _, at, contents = np.unique(c["h"], return_inverse=True, return_counts=True)
-        contents = contents[at]
-        yield _batch(_take(c, (contents > 1) & (contents <= crowd)), ASK)
+        _, at = np.unique(c["h"], return_inverse=True)
+        contents = np.bincount(at, first).astype(np.int64)[at]
+        yield _batch(_take(c, contents <= crowd), ASK)
         yield _batch(_take(c, (contents > crowd) & (contents <= horde)), ASK_CROWD)
         yield _batch(_take(c, contents > max(crowd, horde)), ASK_HORDE)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            for bucket, kind, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if not kind:
+                    yield _batch(_unpacked(blob), MARK)
+                    continue
+                if bucket != last and held:
+                    yield from asked(held)
+                    held = []
+                last = bucket
+                held.append(_unpacked(blob))
+        if held:
+            yield from asked(held)
+
     return run
 
 
@@ -393,7 +417,7 @@ def _sort_fragments(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
         first: dict[bytes, int] = {}
-        size, last = 0, None
+        size, begun, last = 0, 0, None
 
         def settled() -> pa.RecordBatch:
             doc, row, start, n = (np.array([x[i] for x in held], np.int64) for i in (1, 2, 3, 4))
@@ -406,10 +430,12 @@ def _sort_fragments(length: int):
                     marks.append(x)
                     continue
                 if x[0] != last:
+                    if len(held) - begun == 1:  # one content only: nothing to sort
+                        size -= len(held.pop()[5])
                     if size >= BLOCK:
                         yield settled()
                         held, size = [], 0
-                    first, last = {}, x[0]
+                    first, begun, last = {}, len(held), x[0]
                 at = first.setdefault(x[5], len(held))
                 if at == len(held):
                     held.append(x)
@@ -427,20 +453,16 @@ def _sort_fragments(length: int):
     return run
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row. They are read several times, so docs should be a scan of files, whose numbers are the same each time; store anything else first."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, stretch: int = STRETCH, horde: int = HORDE) -> DataFrame:
     """(_row, _spans): runs of windows that stand earlier too, for rows of numbered docs (doc_id, _row, text)."""
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select("doc_id", "_row", "text")
-    blobs = texts.mapInArrow(_anchors(length, n, stretch), "bucket int, kind int, blob binary").repartition(n, "bucket")
+    buckets = max(n, min(scan_bytes(docs) // BUCKET, 1 << 30))
+    blobs = texts.mapInArrow(_anchors(length, buckets, stretch), "bucket int, kind int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     met = stored(blobs.mapInArrow(_meet(crowd, horde), _OUT), "repeats")
     asked = met.where(F.col("kind") != MARK).groupBy("row").agg(F.collect_list(F.struct("start", "n", "h", "d", "kind")).alias("asked")).withColumnRenamed("row", "_row")
-    again = texts.join(asked.hint("shuffle_hash"), "_row").select("doc_id", "_row", "text", "asked").mapInArrow(_read_again(length), "key long, doc long, row long, start long, n long, bytes binary")
+    again = texts.join(asked, "_row").select("doc_id", "_row", "text", "asked").mapInArrow(_read_again(length), "key long, doc long, row long, start long, n long, bytes binary")
     sorted_ = again.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_fragments(length), "row long, start long, n long")
     marks = stored(sorted_, "marks").union(met.where(F.col("kind") == MARK).select("row", "start", "n"))
     return marks.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).withColumnRenamed("row", "_row")
@@ -490,13 +512,13 @@ def _texts(length: int, at: int):
 
 
 def _with_spans(rows: DataFrame, length: int) -> DataFrame:
-    return rows.join(repeats(rows, length).hint("shuffle_hash"), "_row", "left")
+    return rows.join(repeats(rows, length), "_row", "left")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The columns of docs, text without the bytes that stand earlier."""
-    rows = numbered(docs)
-    return _with_spans(rows, length).select(*docs.columns, "_spans").mapInArrow(_texts(length, docs.columns.index("text")), docs.schema)
+    own = renamed(docs, "doc_id", "text")
+    return _with_spans(numbered(own), length).select(*own.columns, "_spans").mapInArrow(_texts(length, own.columns.index("text")), own.schema).toDF(*docs.columns)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

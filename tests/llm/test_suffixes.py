@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from millrace.llm import suffixes
-from millrace.llm.suffixes import adjacent_prefixes, numbered, sorted_suffixes, without_repeats
+from millrace.llm.common import numbered, stored
+from millrace.llm.suffixes import adjacent_prefixes, sorted_suffixes, without_repeats
 
 
 def brute(rows, length=100):
@@ -82,3 +83,53 @@ def test_texts(sp):
     assert without_repeats(d).columns == d.columns
     assert len(got[0]) < 300 and got[1] == "x" and got[2] is None and got[3] == ""
     assert without_repeats(d.where("false")).count() == 0
+
+
+def test_numbers_do_not_move(sp):
+    d = stored(sp.createDataFrame(corpus(4), "doc_id long, text string").repartition(30), "many")
+    rows = numbered(d)
+    old = sp.conf.get("spark.sql.files.maxPartitionBytes")
+    before = sorted((r._row, r.doc_id) for r in rows.select("_row", "doc_id").collect())
+    spans = suffixes.repeats(rows)
+    sp.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # other splits, as after a lost executor
+    try:
+        after = sorted((r._row, r.doc_id) for r in numbered(d.select("doc_id", "text")).select("_row", "doc_id").collect())
+        out = rows.join(spans, "_row", "left").select("doc_id", "text", "_spans").mapInArrow(suffixes._digests(100), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        assert before == after and len({r for r, _ in before}) == len(before)
+        assert sorted(map(tuple, out.collect())) == brute(corpus(4))
+    finally:
+        sp.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_no_byte_goes_on_hashes_alone(sp, monkeypatch):
+    """With hashes that collide everywhere, so that contents and anchors are told apart by bytes only, the result is the same."""
+    rows = corpus(3)[:60]
+    d = numbered(sp.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    anchors = suffixes._anchors
+
+    def dull(length, buckets, stretch):
+        run = anchors(length, buckets, stretch)
+
+        def wrapped(batches):
+            whole = suffixes.fragments
+
+            def same(*args):
+                h, f, *rest = whole(*args)
+                return (h & np.uint64(3), f & np.uint64(1), *rest)
+
+            suffixes.fragments = same
+            try:
+                yield from run(batches)
+            finally:
+                suffixes.fragments = whole
+
+        return wrapped
+
+    monkeypatch.setattr(suffixes, "_anchors", dull)
+    out = d.join(suffixes.repeats(d), "_row", "left").select("doc_id", "text", "_spans").mapInArrow(suffixes._digests(100), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    assert sorted(map(tuple, out.collect())) == brute(rows)
+
+
+def test_clashing_names(sp):
+    d = sp.createDataFrame([(1, "é" * 300, 7, "a", 1.0), (2, "x" + "é" * 300, 8, "b", 2.0)], "doc_id long, text string, _row int, _spans string, _own0 double")
+    assert sorted(map(tuple, without_repeats(d).collect()))[1] == (2, "x", 8, "b", 2.0)
