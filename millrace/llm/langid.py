@@ -1,20 +1,25 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Pieces are the tokens of a public byte vocabulary (up to eight bytes, no white space but a leading blank that marks a
-word's start). Each language has a probability for every piece; a word's likelihood is the sum over all its
-segmentations into pieces, by the forward algorithm, and a text's is the product over its words. Probabilities are
-fitted by expectation maximisation over word counts of a bounded sample: about SAMPLE_DOCS labelled documents and the
-SAMPLE_WORDS commonest words of each language. Everything else reads every word of every text.
-
-Words are runs of letters (A-Z lower-cased, every byte beyond ASCII taken as one); one of more than MOST bytes is scored
-in runs of that many, since longer products would leave a double's range. The score is the posterior of the
+Pieces are the tokens of a public byte vocabulary, of any length (no white space but a leading blank that marks a word's
+start), and all single bytes. Each language has a probability for every piece; a word's likelihood is the sum over all
+its segmentations into pieces, by the forward algorithm, and a text's is the product over its words. Sums are rescaled by
+powers of two as they shrink, so words have any length too: short ones are summed many at once, long ones one by one over
+a window as wide as the longest piece.
+
+Probabilities are fitted by expectation maximisation over all words of a bounded sample of labelled rows: about
+SAMPLE_DOCS documents of each language, of SAMPLE_BYTES at most each. Expectations are taken where the words are; the
+driver sums PARTS tables of pieces by languages. Everything else reads every word of every text.
+
+Words are runs of letters (A-Z lower-cased, every byte beyond ASCII taken as one). The score is the posterior of the
 predicted language among those learned; ties go to the first by name. A null text or one without a letter is `und`
-with score 0, as is everything if nothing could be learned. A null doc_id counts as held out. Repeated rows are judged alike; extra columns are ignored.
+with score 0, as is everything if nothing could be learned. A null doc_id counts as held out. Repeated rows are judged
+alike; extra columns are ignored, or passed through under any name if asked to; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,144 +27,248 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, renamed, stored
 
-SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS, FOLDS = 2000, 20_000, 4, 5
-PIECE, MOST, ALPHA = 8, 32, 0.01
+SAMPLE_DOCS, SAMPLE_BYTES, ROUNDS, FOLDS = 1000, 1 << 20, 4, 5
+ALPHA, PARTS = 0.01, 16
+#: Words of more bytes are summed one by one; the sum is the same.
+LONG = 48
+#: Sums are kept above this power of two.
+_LOW = 300
 _CACHE = 400_000
 #: A-Z to a-z, all other ASCII but a-z to blanks.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def words_of(text: str) -> list[bytes]:
-    found = text.encode("utf-8", "replace").translate(_LETTERS).split()
-    if max(map(len, found), default=0) > MOST:
-        found = [w[i : i + MOST] for w in found for i in range(0, len(w), MOST)]
-    return found
+    return text.encode("utf-8", "replace").translate(_LETTERS).split()
 
 
-def vocabulary(path: str) -> np.ndarray:
-    """Sorted keys of the pieces: up to eight bytes, packed little-endian; every single byte is one."""
+def vocabulary(path: str) -> list[bytes]:
+    """The pieces in order; every single byte is one."""
     with open(path, "rb") as f:
         tokens = {base64.b64decode(line.split()[0]) for line in f}
-    kept = {t for t in tokens if 0 < len(t) <= PIECE and t.strip() == t.lstrip(b" ") and len(t) - len(t.lstrip(b" ")) <= 1 and 0 not in t and not set(t[1:]) & set(b" \t\n\r\x0b\x0c") and t.lower() == t}
-    kept |= {bytes([c]) for c in range(1, 256)}
-    return np.unique(np.array([int.from_bytes(t.ljust(8, b"\0"), "little") for t in kept], np.uint64))
+    kept = {t for t in tokens if t.strip() and len(t.split()) == 1 and t.rstrip() == t and len(t) - len(t.lstrip()) <= 1 and t[:1] not in b"\t\n\r\x0b\x0c" and t.lower() == t}
+    return sorted(kept | {bytes([c]) for c in range(256)})
+
+
+class Trie:
+    """All pieces that begin at every place of a buffer."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.reach = max(map(len, pieces))
+        nodes: dict[int, int] = {}
+        ends = {}
+        for i, t in enumerate(pieces):
+            at = 0
+            for c in t:
+                at = nodes.setdefault(at << 8 | c, len(nodes) + 1)
+            ends[at] = i
+        keys = np.fromiter(nodes, np.int64, len(nodes))
+        order = np.argsort(keys)
+        self.keys, self.below = keys[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order]
+        self.piece = np.full(len(nodes) + 1, -1, np.int32)
+        self.piece[list(ends)] = list(ends.values())
+        self.root = np.zeros(256, np.int64)
+        self.root[self.keys[: np.searchsorted(self.keys, 256)]] = self.below[: np.searchsorted(self.keys, 256)]
+
+    def found(self, buffer: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number in begin, length and piece of every piece that begins at a place and ends by its stop."""
+        which, at, n, out = np.arange(len(begin)), self.root[buffer[begin]], 1, []
+        while True:
+            live = at > 0
+            which, at = which[live], at[live]
+            i = self.piece[at]
+            out.append((which[i >= 0], np.full(np.count_nonzero(i >= 0), n), i[i >= 0]))
+            more = begin[which] + n < stop[which]
+            which, at = which[more], at[more]
+            if not len(which):
+                return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            asked = at << 8 | buffer[begin[which] + n]
+            to = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            at = np.where(self.keys[to] == asked, self.below[to], 0)
+            n += 1
+
+    def lattice(self, words: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, np.ndarray, np.ndarray]]]]:
+        """Lengths of the words with their leading blank; for each place the pieces there as (length, words, pieces)."""
+        lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        buffer = np.frombuffer(b" " + b" ".join(words), np.uint8)
+        ends = np.cumsum(lens)
+        word = np.repeat(np.arange(len(words)), lens)
+        which, n, piece = self.found(buffer, np.arange(len(buffer)), ends[word])
+        place = which - (ends - lens)[word[which]]
+        key = place * (self.reach + 1) + n
+        order = np.argsort(key, kind="stable")
+        key, w, piece = key[order], word[which[order]], piece[order]
+        at: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(int(lens.max()))]
+        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for a, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+            p, length = divmod(int(key[a]), self.reach + 1)
+            at[p].append((length, w[a:e], piece[a:e]))
+        return lens, at
+
+
+def _raise_low(sums: np.ndarray, here: int, span: slice, going: np.ndarray, power: np.ndarray) -> None:
+    """Multiply a span of places by 2**_LOW for the words and languages whose sum at `here` is below its inverse."""
+    low = (sums[:, here] < 2.0**-_LOW) & (sums[:, here] > 0) & going[:, None]
+    if low.any():
+        w, k = np.nonzero(low)
+        sums[w, span, k] *= 2.0**_LOW
+        power[w, k] -= _LOW
+
+
+def forward(lens: np.ndarray, at: list, prob: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """sums and powers [word, place, language]: sums * 2**powers is the probability of all segmentations of what comes before the place."""
+    n, width = len(lens), len(at)
+    sums, powers, power = np.zeros((n, width + 1, prob.shape[1])), np.zeros((n, width + 1, prob.shape[1]), np.int64), np.zeros((n, prob.shape[1]), np.int64)
+    sums[:, 0] = 1
+    for p in range(width):
+        if p % 4 == 3:
+            _raise_low(sums, p, slice(p, p + reach + 1), lens > p, power)
+        powers[:, p] = power
+        for length, w, piece in at[p]:
+            sums[w, p + length] += sums[w, p] * prob[piece]
+    powers[:, width] = power
+    return sums, powers
 
 
-class Segmenter:
-    """Piece numbers at every place of a batch of words of about one length."""
+def expected(lens: np.ndarray, at: list, prob: np.ndarray, reach: int, counts: np.ndarray, into: np.ndarray) -> None:
+    """Add the expected count of each piece for each language."""
+    sums, powers = forward(lens, at, prob, reach)
+    rows = np.arange(len(lens))
+    total, whole = sums[rows, lens], powers[rows, lens]
+    back, power = np.zeros_like(sums), np.zeros_like(whole)
+    back[rows, lens] = 1
+    weight = np.divide(counts, total, out=np.zeros_like(total), where=total > 0)
+    for p in reversed(range(len(at))):
+        if p % 4 == 3:
+            _raise_low(back, p + 1, slice(p + 1, p + 2 + reach), lens > p, power)
+        for length, w, piece in at[p]:
+            then = back[w, p + length] * prob[piece]
+            back[w, p] += then
+            np.add.at(into, piece, np.ldexp(sums[w, p] * then * weight[w], (powers[w, p] + power[w] - whole[w]).astype(np.int32)))
+
+
+def long_word(trie: Trie, word: bytes, prob: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """The logarithm of a word's likelihood in each language, in memory that does not grow with the word."""
+    text, size, power = b" " + word, prob.shape[1], np.zeros(prob.shape[1])
+    sums = np.zeros((block + trie.reach + 1, size))
+    sums[0] = 1
+    for a in range(0, len(text), block):
+        part = np.frombuffer(text[a : a + block + trie.reach], np.uint8)
+        here = min(block, len(text) - a)
+        which, n, piece = trie.found(part, np.arange(here), np.full(here, len(part)))
+        order = np.argsort(which, kind="stable")
+        to, share = (which + n)[order], prob[piece[order]]
+        cuts = np.searchsorted(which[order], np.arange(here + 1)).tolist()
+        for p in range(here):
+            if p % 4 == 3 and (low := sums[p] < 2.0**-_LOW).any():
+                sums[p : p + trie.reach + 1, low] *= 2.0**_LOW
+                power[low] -= _LOW
+            i, e = cuts[p], cuts[p + 1]
+            sums[to[i:e]] += sums[p] * share[i:e]
+        sums[: trie.reach + 1] = sums[here : here + trie.reach + 1].copy()
+        sums[trie.reach + 1 :] = 0
+    with np.errstate(divide="ignore"):
+        return np.log(sums[0]) + power * math.log(2)
+
+
+def _grouped(words: list[bytes], size: int = 2048, cells: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Numbers of words of about one length: `size` words or `cells` bytes at most, but always one word."""
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    order = np.argsort(lens, kind="stable")
+    i = 0
+    while i < len(order):
+        e = i + 1
+        step = min(size, len(order) - i)
+        while step and e - i < size:
+            if e + step <= len(order) and e - i + step <= size and (e - i + step) * lens[order[e + step - 1]] <= cells:
+                e += step
+            else:
+                step //= 2
+        yield order[i:e]
+        i = e
+
+
+def _first_guess(at: list, counts: np.ndarray, into: np.ndarray) -> None:
+    for pieces in at:
+        for length, w, piece in pieces:
+            np.add.at(into, piece, counts[w] * length)  # longer pieces explain more of a word
+
+
+def _expect(model):
+    """One row a task: the expected counts of all pieces, as bytes, over the task's (word, counts)."""
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.masks = [np.uint64((1 << 8 * n) - 1) for n in range(1, PIECE + 1)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, prob, size = model.value
+        into = np.zeros((int(trie.piece.max()) + 1, size))
+        for b in batches:
+            words, counts = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), float)
+            for part in _grouped(words):
+                lens, at = trie.lattice([words[i] for i in part])
+                if prob is None:
+                    _first_guess(at, counts[part], into)
+                else:
+                    expected(lens, at, prob, trie.reach, counts[part], into)
+        yield pa.RecordBatch.from_arrays([pa.array([into.tobytes()], pa.binary())], ["counts"])
 
-    def pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """ids[word, place, length - 1], len(keys) where no piece stands; and the words' lengths with their leading blank."""
-        lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        width = int(lens.max())
-        flat = np.frombuffer(b"".join((b" " + w).ljust(width + PIECE, b"\0") for w in words), np.uint8).reshape(len(words), width + PIECE)
-        window = np.zeros((len(words), width), np.uint64)
-        for i in range(PIECE):
-            window |= flat[:, i : i + width].astype(np.uint64) << np.uint64(8 * i)
-        ids = np.full((len(words), width, PIECE), len(self.keys), np.int32)
-        place = np.arange(width)
-        for n, mask in enumerate(self.masks):
-            inside = place[None, :] + n + 1 <= lens[:, None]
-            asked = window[inside] & mask
-            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-            ids[..., n][inside] = np.where(self.keys[at] == asked, at, len(self.keys))
-        return ids, lens
-
-
-def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """alpha[word, place, language]: the probability of all segmentations of what comes before the place. prob has a last row of zeros."""
-    n, width, _ = ids.shape
-    alpha = np.zeros((n, width + 1, prob.shape[1]))
-    alpha[:, 0] = 1
-    for p in range(width):
-        here = alpha[:, p]
-        for k in range(min(PIECE, width - p)):
-            alpha[:, p + k + 1] += here * prob[ids[:, p, k]]
-    return alpha
+    return run
 
 
-def expected(ids: np.ndarray, lens: np.ndarray, prob: np.ndarray, counts: np.ndarray, into: np.ndarray) -> None:
-    """Add the expected count of each piece for each language."""
-    alpha = forward(ids, prob)
-    n, width, _ = ids.shape
-    rows = np.arange(n)
-    total = alpha[rows, lens]
-    beta = np.zeros_like(alpha)
-    beta[rows, lens] = counts / np.maximum(total, 1e-300)
-    for p in reversed(range(width)):
-        for k in range(min(PIECE, width - p)):
-            then = beta[:, p + k + 1] * prob[ids[:, p, k]]
-            beta[:, p] += then
-            np.add.at(into, ids[:, p, k], alpha[:, p] * then)
-
-
-def _grouped(words: list[bytes], size: int = 2048) -> Iterator[np.ndarray]:
-    order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-    for i in range(0, len(order), size):
-        yield order[i : i + size]
-
-
-def fit(keys: np.ndarray, counts: dict[str, dict[bytes, int]], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages by name, and prob[piece, language] with a last row of zeros."""
-    langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c})
-    n = np.array([[counts[x].get(w, 0) for x in langs] for w in words], float).reshape(len(words), len(langs))
-    seg = Segmenter(keys)
-    batches = [(*seg.pieces([words[i] for i in at]), n[at]) for at in _grouped(words)]
-    prob = np.zeros((len(keys) + 1, len(langs)))
-
-    def settle(c: np.ndarray) -> None:
-        c = c[:-1] + ALPHA
-        prob[:-1] = c / c.sum(0)
-
-    first = np.zeros_like(prob)
-    for ids, _, c in batches:
-        for k in range(PIECE):
-            for p in range(ids.shape[1]):
-                np.add.at(first, ids[:, p, k], c * (k + 1))  # longer pieces explain more of a word
-    settle(first)
-    for _ in range(rounds):
-        into = np.zeros_like(prob)
-        for ids, lens, c in batches:
-            expected(ids, lens, prob, c, into)
-        settle(into)
-    return langs, prob
+def fit(words: DataFrame, trie: Trie, size: int, rounds: int = ROUNDS) -> np.ndarray:
+    """prob[piece, language] from stored rows of (word, counts in each of `size` languages, part)."""
+    spark, prob = words.sparkSession, None
+    dealt = stored(words.repartition(PARTS, "word").sortWithinPartitions(F.length("word"), "word"), "words")
+    for _ in range(rounds + 1):
+        model = spark.sparkContext.broadcast((trie, prob, size))
+        total = np.zeros((int(trie.piece.max()) + 1, size))
+        for x in sorted(bytes(r.counts) for r in dealt.mapInArrow(_expect(model), "counts binary").collect()):  # sorted: sums do not depend on the tasks' order
+            total += np.frombuffer(x).reshape(total.shape)
+        total += ALPHA
+        prob = total / total.sum(0)
+        model.unpersist()
+    return prob
 
 
 class Scorer:
-    def __init__(self, keys: np.ndarray, langs: list[str], prob: np.ndarray):
-        self.seg, self.langs, self.prob = Segmenter(keys), langs, prob.astype(float)
+    def __init__(self, trie: Trie, langs: list[str], prob: np.ndarray):
+        self.trie, self.langs, self.prob = trie, langs, prob
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
         self.rows = np.zeros((1024, len(self.langs)))
 
+    def likelihoods(self, words: list[bytes]) -> np.ndarray:
+        """Logarithms of the likelihoods [word, language]."""
+        out = np.zeros((len(words), len(self.langs)))
+        short = np.array([i for i, w in enumerate(words) if len(w) <= LONG], np.int64)
+        for part in _grouped([words[i] for i in short]):
+            lens, at = self.trie.lattice([words[short[i]] for i in part])
+            sums, powers = forward(lens, at, self.prob, self.trie.reach)
+            rows = np.arange(len(part))
+            out[short[part]] = np.log(sums[rows, lens]) + powers[rows, lens] * math.log(2)
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = long_word(self.trie, w, self.prob)
+        return out
+
     def learn(self, words: list[bytes]) -> None:
         start = len(self.at)
         if start + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((start + len(words), len(self.langs)))])
-        for part in _grouped(words):
-            ids, lens = self.seg.pieces([words[i] for i in part])
-            self.rows[start + part] = np.log(np.maximum(forward(ids, self.prob)[np.arange(len(part)), lens], 1e-300))
+        self.rows[start : start + len(words)] = self.likelihoods(words)
         self.at.update((w, start + i) for i, w in enumerate(words))
 
     def batch(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if len(self.at) > _CACHE:
             self.clear()
         split = [words_of(t) if t else [] for t in texts]
-        new = {w for ws in split for w in ws if w not in self.at}
+        new = {w for ws in split for w in ws if w not in self.at} if self.langs else ()
         if new:
-            self.learn(list(new))
+            self.learn(sorted(new))
         names, scores = [], []
         for text, ws in zip(texts, split, strict=True):
             if not ws or not self.langs or not any(map(str.isalpha, text)):
@@ -178,11 +287,11 @@ _scorers: dict[int, Scorer] = {}
 
 def _predict(model, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, langs, prob = model.value
+        trie, langs, prob = model.value
         tag = zlib.crc32(prob.tobytes())
         if tag not in _scorers:
             _scorers.clear()
-            _scorers[tag] = Scorer(keys, langs, prob)
+            _scorers[tag] = Scorer(trie, langs, prob)
         for b in batches:
             at = b.schema.get_field_index("text")
             for i in range(0, b.num_rows, 512):
@@ -208,29 +317,27 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
 
-def train(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """The model of the labelled rows outside the held-out fold. What the driver gathers is bounded by sample_words a language."""
-    labelled = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+def train(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> tuple[Trie, list[str], np.ndarray]:
+    """The model of the labelled rows outside the held-out fold."""
+    labelled = docs.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes)).select("doc_id", "lang", "text")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keys = vocabulary(vocabulary_path)
-    if not sizes:
-        return keys, [], np.zeros((len(keys) + 1, 0))
+    trie, langs = Trie(vocabulary(vocabulary_path)), sorted(sizes)
+    if not langs:
+        return trie, [], np.zeros((int(trie.piece.max()) + 1, 0))
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n)))), F.col("lang"))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30)).select("lang", "text")
-    counted = sample.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= sample_words)
-    counts: dict[str, dict[bytes, int]] = {}
-    for r in top.collect():
-        counts.setdefault(r.lang, {})[bytes(r.word)] = r.n
-    return keys, *fit(keys, counts)
+    counted = sample.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("word")
+    words = counted.agg(F.array(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in langs)).alias("counts"))
+    return trie, langs, fit(words, trie, len(langs))
 
 
 def identify(docs: DataFrame, vocabulary_path: str | None = None, keep: bool = False) -> DataFrame:
-    """doc_id (or with keep, every column of docs), lang_pred and score of every row."""
+    """doc_id (or with keep, every column of docs), lang_pred and score of every row. With keep, columns of docs of those names come first under their own."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, vocabulary_path or default_vocabulary()))
-    rows = docs if keep else docs.select("doc_id", "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) if keep else "doc_id bigint"
-    return rows.mapInArrow(_predict(model, keep), f"{schema}, lang_pred string, score double")
+    rows = renamed(docs, "text") if keep else docs.select("doc_id", "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) if keep else "doc_id bigint"
+    out = rows.mapInArrow(_predict(model, keep), f"{schema}, lang_pred string, score double")
+    return out.toDF(*docs.columns, "lang_pred", "score") if keep else out
 
 
 def default_vocabulary() -> str:

@@ -16,22 +16,62 @@ from millrace.llm.registry import queries
 SF = "/root/testdata/sf0.01"
 
 
+def slow_forward(word, by):
+    """The sum over all segmentations in logarithms, place by place."""
+    s = b" " + word
+    like = np.full((len(s) + 1, 2), -np.inf)
+    like[0] = 0
+    for e in range(1, len(s) + 1):
+        for a in range(e):
+            if s[a:e] in by:
+                like[e] = np.logaddexp(like[e], like[a] + np.log(by[s[a:e]]))
+    return like[-1]
+
+
 def test_forward_sums_all_segmentations():
-    keys = np.unique(np.array([int.from_bytes(t.ljust(8, b"\0"), "little") for t in [b" ", b"a", b"b", b"ab", b" a", b"ba", b" ab"]], np.uint64))
+    pieces = sorted([b" ", b"a", b"b", b"ab", b" a", b"ba", b" ab", b"aababaababa", b"\xe3", b"\x81"])
     rng = np.random.default_rng(1)
-    prob = np.concatenate((rng.random((len(keys), 2)), np.zeros((1, 2))))
-    by = {int(k).to_bytes(8, "little").rstrip(b"\0"): prob[i] for i, k in enumerate(keys)}
-    words = [b"ab", b"aba", b"b", b"abab"]
-    ids, lens = langid.Segmenter(keys).pieces(words)
-    got = langid.forward(ids, prob)[np.arange(len(words)), lens]
-    for w, g in zip(words, got, strict=True):
-        s, total = b" " + w, np.zeros(2)
-        for cuts in product([0, 1], repeat=len(s) - 1):
-            at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(s)]
-            parts = [s[a:b] for a, b in zip(at, at[1:], strict=False)]
-            if all(p in by for p in parts):
-                total += np.prod([by[p] for p in parts], 0)
-        assert g == pytest.approx(total)
+    for least in (0.1, 1e-12):
+        prob = rng.random((len(pieces), 2)) * least
+        by = dict(zip(pieces, prob, strict=True))
+        scorer = langid.Scorer(langid.Trie(pieces), ["x", "y"], prob)
+        # A word of forty bytes and more, and one without blanks whose characters are of several bytes.
+        words = [b"ab", b"aba", b"b", b"abab", b"aab" * 14, b"aababaababa" * 3, b"\xe3\x81" * 45, b"a" * 700]
+        for w, g in zip(words, scorer.likelihoods(words), strict=True):
+            assert g == pytest.approx(slow_forward(w, by)), w
+            assert langid.long_word(scorer.trie, w, prob, 64) == pytest.approx(g)
+        for w in words[:4]:
+            s, total = b" " + w, np.zeros(2)
+            for cuts in product([0, 1], repeat=len(s) - 1):
+                at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(s)]
+                parts = [s[a:b] for a, b in zip(at, at[1:], strict=False)]
+                if all(p in by for p in parts):
+                    total += np.prod([by[p] for p in parts], 0)
+            assert scorer.likelihoods([w])[0] == pytest.approx(np.log(total))
+
+
+def test_expected_counts():
+    """Against forward and backward sums place by place; and with probabilities that need rescaling, every byte is counted once."""
+    pieces = sorted([b" ", b"a", b"b", b"ab", b" a", b"ba", b"aabab"])
+    trie = langid.Trie(pieces)
+    words, counts = [b"aabab", b"ab", b"aab" * 19], np.array([[2.0, 1], [0, 3], [1, 1]])
+    for least in (1, 1e-12):
+        prob = np.random.default_rng(2).random((len(pieces), 2)) * least
+        into, want = np.zeros((len(pieces), 2)), np.zeros((len(pieces), 2))
+        langid.expected(*trie.lattice(words), prob, trie.reach, counts, into)
+        assert sum(into[i] * len(t) for i, t in enumerate(pieces)) == pytest.approx(sum(c * (len(w) + 1) for w, c in zip(words, counts, strict=True)))
+        for w, c in zip(words if least == 1 else [], counts, strict=False):
+            s = b" " + w
+            spans = [(a, e, pieces.index(s[a:e])) for a in range(len(s)) for e in range(a + 1, len(s) + 1) if s[a:e] in pieces]
+            left, right = np.zeros((len(s) + 1, 2)), np.zeros((len(s) + 1, 2))
+            left[0] = right[-1] = 1
+            for a, e, i in sorted(spans):
+                left[e] += left[a] * prob[i]
+            for a, e, i in sorted(spans, reverse=True):
+                right[a] += right[e] * prob[i]
+            for a, e, i in spans:
+                want[i] += c * left[a] * prob[i] * right[e] / left[-1]
+        assert least != 1 or into == pytest.approx(want)
 
 
 def test_language(sp):
