@@ -1,7 +1,8 @@
 """Time the headline queries; prints one JSON line. BENCH_SF_DIR and BENCH_CPUS choose data and cores.
 
-The figures of `queries` are over a table held in memory, as ingest counts in neither of the baseline's figures;
-those of `uncached` read Parquet each time. Both are medians of whole queries after a warm-up.
+The figures of `queries` are over the bound columns held in memory, as ingest counts in neither of the baseline's figures;
+those of `uncached` read Parquet each time, and those of `duckdb` are its own on the same files. All are medians of whole
+queries after a warm-up.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import json
 import os
 from statistics import median
 
+from millrace.plans.compare import compare
 from millrace.plans.queries import QUERIES
 from millrace.session import local_session
 from millrace.sources import read_lineitem
@@ -39,7 +41,8 @@ def main() -> None:
     force(held)
     seconds = timed(spark, sf_dir)
     held.unpersist()
-    print(json.dumps({"metric": "headline_query_seconds", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")), "uncached": uncached}))
+    duck = {r.query: round(r.duckdb_ms / 1000, 4) for r in compare(spark, sf_dir, HEADLINE, runs=3)}
+    print(json.dumps({"metric": "headline_query_seconds", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")), "uncached": uncached, "duckdb": duck}))
     spark.stop()
 
 

@@ -1,9 +1,8 @@
 """Filters as Columns. `raw=True` gives the form over lineitem's own columns, which Parquet can prune by."""
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,5 +21,14 @@ def quantity_and_category(threshold: int, category: int) -> Column:
 
 
 def arrow_predicate(fn: Callable, *columns: str) -> Column:
-    """Escape hatch for an opaque predicate: an Arrow-batched UDF from scalars to bool."""
+    """Escape hatch for an opaque predicate over whole batches: from Arrow arrays to a boolean array."""
+
+    def whole(*arrays: pa.Array) -> pa.Array:
+        return fn(*arrays)
+
+    return F.arrow_udf(whole, "boolean")(*map(F.col, columns))
+
+
+def row_predicate(fn: Callable, *columns: str) -> Column:
+    """The same for a predicate that knows one row's values only; batches travel by Arrow, fn runs once a row."""
     return F.udf(fn, "boolean", useArrow=True)(*map(F.col, columns))

@@ -1,7 +1,8 @@
 """Positional scans, morsel descriptors and per-row callbacks.
 
-Row ids come from Parquet's own row index (`_metadata.row_index`), so no sort or count is needed to number rows.
-They are positions within a file; for a table of several files `file_path` belongs to the key.
+Row ids are positions in storage order: files in the order of their paths, rows in that of Parquet's own row index
+(`_metadata.row_index`). A file's first id is the sum of the row counts before it, one row a file, which Parquet's
+footers answer; no row is sorted or moved to be numbered.
 """
 
 from __future__ import annotations
@@ -9,14 +10,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DEFAULT_MORSEL = 100_000
 
 
 def with_row_id(df: DataFrame, *columns: Column | str) -> DataFrame:
-    """A frame read from Parquet with `row_id` beside the given columns (all of them by default)."""
-    return df.select(F.col("_metadata.row_index").alias("row_id"), *(columns or ("*",)))
+    """A frame read from Parquet with `row_id`, its position in the whole table, beside the given columns (all of them by default)."""
+    place, own = F.col("_metadata.row_index"), columns or ("*",)
+    if len(df.inputFiles()) <= 1:
+        return df.select(place.alias("row_id"), *own)
+    counts = df.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count(F.lit(1)).alias("_n"))
+    first = counts.select("_path", (F.sum("_n").over(W.orderBy("_path")) - F.col("_n")).alias("_first"))
+    held = df.select(F.struct(*own).alias("_row"), F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
+    return held.join(first, F.col("_file") == F.col("_path")).select((F.col("_first") + F.col("_place")).alias("row_id"), "_row.*")
 
 
 def scan_range(numbered: DataFrame, start: int, end: int) -> DataFrame:
@@ -48,6 +56,11 @@ def get_row(numbered: DataFrame, row_id: int) -> Row:
     return row
 
 
+def first_rows(numbered: DataFrame, n: int) -> DataFrame:
+    """The first n rows in storage order."""
+    return scan_range(numbered, 0, n)
+
+
 def head(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first n rows in a stated order: a top-k per partition and one merge, not a full sort."""
     return df.orderBy(*order).limit(n)

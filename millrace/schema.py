@@ -31,6 +31,9 @@ LINEITEM_BINDING = {
 }
 
 
+LINEITEM_COLUMNS = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
+
+
 def bind_lineitem(lineitem: DataFrame) -> DataFrame:
     """Project lineitem onto the sales columns. Filter raw lineitem columns before this, so that they reach the scan."""
     return lineitem.select(*(F.expr(e).alias(c) for c, e in LINEITEM_BINDING.items()))

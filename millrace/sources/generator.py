@@ -12,10 +12,11 @@ CSV_HEADER = ["TransactionID", "CustomerID", "Quantity", "Price", "Discount", "C
 
 
 def generate_sales(spark: SparkSession, rows: int, seed: int = 42, partitions: int | None = None) -> DataFrame:
-    """`rows` rows, the same for a seed whatever the partitioning: every draw hashes the row's own id."""
+    """`rows` rows, the same for a seed whatever the partitioning: every draw is of the MD5 of seed, draw and the row's own id, so that other engines can make the same rows."""
 
     def draw(k: int, n: int):
-        return F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), F.lit(n))
+        digits = F.substring(F.md5(F.concat(F.lit(f"{seed}-{k}-"), F.col("id").cast("string")).cast("binary")), 1, 8)
+        return F.conv(digits, 16, 10).cast("bigint") % n
 
     def pick(values: list, k: int):
         return F.array(*map(F.lit, values))[draw(k, len(values)).cast("int")]

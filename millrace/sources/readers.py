@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import SALES, bind_lineitem
+from ..schema import LINEITEM_COLUMNS, SALES
 
 # Fixed values of the lenient number format: an unsigned-prefix integer or float, no leading blank or plus sign.
 INT_PREFIX = r"^(-?[0-9]+)"
@@ -20,8 +20,8 @@ def read_sales_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw lineitem table; callers filter it before `bind_lineitem`."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    """The columns of lineitem that the sales table is bound to; callers filter them before `bind_lineitem`."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS)
 
 
 def read_csv_strict(spark: SparkSession, path: str) -> DataFrame:
@@ -30,10 +30,22 @@ def read_csv_strict(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _file_sizes(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    """Sizes of the files that a path, a pattern or a folder (and the folders in it) stands for, hidden ones apart."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getLen() for s in (fs.globStatus(p) or [])]
+    todo, sizes = list(fs.globStatus(p) or []), []
+    while todo:
+        found = todo.pop()
+        if found.isFile():
+            sizes.append(found.getLen())
+        else:
+            todo += [s for s in fs.listStatus(found.getPath()) if s.getPath().getName()[0] not in "._"]
+    return sizes
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Files as they are: path, modificationTime, length and content, one row a file."""
+    return spark.read.format("binaryFile").load(path)
 
 
 def _number(token: Column, pattern: str, kind: str) -> Column:
@@ -51,7 +63,7 @@ def read_csv_lenient(spark: SparkSession, path: str) -> DataFrame:
 
     The first line of each file (that isn't blank) is dropped whatever it holds; blank lines are skipped; fields are split at every
     comma (no quoting); a row needs seven fields and more are ignored; a number is the longest valid prefix of its
-    field, 0 if there is none or it is out of range; the region is taken verbatim. A zero-byte file raises
+    field, 0 if there is none or it is out of range; the region is taken verbatim. A zero-byte file, in a folder too, raises
     ValueError, a header alone gives no rows, a missing path raises Spark's PATH_NOT_FOUND.
     """
     if 0 in _file_sizes(spark, path):

@@ -1,7 +1,10 @@
 """Fixtures worked out by hand: readers, switches, morsels, scans, telemetry, command line."""
 
 import math
+import subprocess
+import sys
 
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from millrace.plans.compare import compare, markdown
 from millrace.telemetry import QueryMetrics, Speedup
 
 HEADER = "TransactionID,CustomerID,Quantity,Price,Discount,CategoryID,StoreRegion"
+# Five sample rows that are published with expected results.
 FIVE = [(1, 83811, 15, 42.39, 0.10, 16, "South"), (2, 18290, 95, 158.23, 0.25, 35, "North"), (3, 77398, 55, 52.52, 0.0, 14, "South"), (4, 66238, 78, 44.67, 0.05, 46, "Central"), (5, 54988, 29, 676.57, 0.10, 1, "South")]
 
 
@@ -92,7 +96,35 @@ def test_scans(spark, five, tmp_path):
     assert op.head(numbered, 2, "row_id").count() == 2
     assert src.table_stats(five)["rows"] == 5
     assert {r.n_rows for r in op.partition_rows(five.coalesce(1)).collect()} == {5}
-    assert five.where(fn.arrow_predicate(lambda q: q > 50, "quantity")).count() == 3
+    assert five.where(fn.row_predicate(lambda q: q > 50, "quantity")).count() == 3
+    assert five.where(fn.arrow_predicate(lambda q, c: pc.greater(pc.multiply(q, c), 300), "quantity", "category_id")).count() == 3
+
+
+def test_positions_over_several_files(spark, tmp_path):
+    rows = src.generate_sales(spark, 1000, partitions=1)
+    path = str(tmp_path / "many")
+    for k in range(4):
+        rows.where(f"transaction_id > {250 * k} AND transaction_id <= {250 * (k + 1)}").write.mode("append").parquet(path)
+    table = src.read_sales_parquet(spark, path)
+    assert len(table.inputFiles()) == 4
+    numbered = op.with_row_id(table)
+    assert sorted(r.row_id for r in numbered.select("row_id").collect()) == list(range(1000))
+    parts = [op.scan_morsel(numbered, k, 300).select("row_id").collect() for k in range(4)]
+    assert [len(p) for p in parts] == [300, 300, 300, 100] and len({r for p in parts for r in p}) == 1000
+    assert op.scan_range(numbered, 0, 100).count() == 100 == op.first_rows(numbered, 100).count()
+    assert op.get_row(numbered, 600) == op.get_row(op.with_row_id(table, *table.columns), 600)
+    one = sorted((r.row_id, r.transaction_id) for r in numbered.collect())
+    files = [sorted(x) for x in zip(*[iter(t for _, t in one)] * 250, strict=True)]
+    assert sorted(files) == [list(range(250 * k + 1, 250 * k + 251)) for k in range(4)]  # a file's rows stand together
+
+
+def test_lenient_folder(spark, five, tmp_path):
+    src.write_sales_csv(five.repartition(2), str(tmp_path / "in"))
+    assert src.read_csv_lenient(spark, str(tmp_path / "in")).count() == 5
+    assert src.read_raw(spark, str(tmp_path / "in")).agg(F.sum("length")).first()[0] > 100
+    (tmp_path / "in" / "part-empty.csv").write_text("")
+    with pytest.raises(ValueError, match="empty file"):
+        src.read_csv_lenient(spark, str(tmp_path / "in"))
 
 
 def test_generator_and_append(spark):
@@ -120,6 +152,12 @@ def test_telemetry_and_cli(spark, five):
     assert cli.parser().parse_known_args(["-d", "x", "--unknown"])[0].threads == 4
 
 
+def test_cli_reports_speedup(tmp_path):
+    (tmp_path / "a.csv").write_text("\n".join([HEADER, *(",".join(map(str, r)) for r in FIVE)]))
+    out = subprocess.run([sys.executable, "-m", "millrace.cli", "-d", str(tmp_path / "a.csv"), "-t", "2"], capture_output=True, text=True, timeout=300, check=True).stdout
+    assert out.count("efficiency") == 10 and "footprint" in out and "ingest" in out
+
+
 def test_compare(spark):
     rows = compare(spark, "/root/testdata/sf0.001", ["q01_count", "q08_filter_group"], runs=1)
     assert [r.equal for r in rows] == [True, True]
