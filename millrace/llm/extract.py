@@ -1,16 +1,20 @@
 """Main text of HTML by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides what it can: a block in a menu, header, footer,
-sidebar, notice, advert, form or comment section (by element, role, class or id) is boilerplate, as is one that is mostly
-link text; a block that is long enough and dense enough in stop words is text; the rest is open. In the second pass
-an open block inherits from its nearest decided neighbours: text if either side's nearest is text and, where the two
-differ, if the block is in the same container as the text side. Inside article or main only boilerplate marks and link
-density count against a block, so that short lines at an article's edge stay; where a class or id only hints at the main
-text, open blocks stay that are long or have no decided neighbours; elsewhere the latter are boilerplate.
+A page is cut into blocks at block-level tags. The first pass looks at each block alone, in this order: mostly link text
+is boilerplate; a block marked as menu, header, footer, sidebar, notice, advert, form or comment section (a declared
+feature: element, role, words of class or id) is boilerplate, as density cannot tell a reader's comment from prose; a
+long block that is dense in stop words is text, and a long one with hardly any is boilerplate unless its container says
+that it is the main text; all else, short blocks and dense ones of middle length, is open. If nothing is text by then,
+the dense ones of middle length are.
+
+In the second pass an open block inherits the label of its nearest decided neighbours. If they differ, it is text where
+its container is the text side's. The edges of a page count as decided neighbours that are boilerplate, those of an
+article or main element as ones that are text; where a class or id only hints at the main text, open blocks stay that are not short, or have no decided neighbours.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one newline in
 page order. A null or empty page gives an empty text; malformed and cut-off markup is read as far as it goes; pages of
-any length are read whole; repeated rows are read each by itself. A page is one row's work: no shuffle.
+any length are read whole; repeated rows are read each by itself; an empty table gives no rows; extra columns are ignored.
+A page is one row's work: no shuffle.
 """
 
 from __future__ import annotations
@@ -49,12 +53,15 @@ STOP_WORDS = frozenset(
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|<[a-zA-Z/!?][^>]*+\Z""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Words that say how a page is laid out, as "has-sidebar", mark nothing.
+_LAYOUT = re.compile(r"(?i)\b(?:has|no|with|without)[-_][a-z_-]+")
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 TEXT, BOILERPLATE, OPEN = 1, 0, None
 #: How sure it is that a container holds the main text: by its element, by its class or id.
 SURE, HINTED = 2, 1
-MIN_CHARS, STOP_DENSITY, LINK_DENSITY = 70, 0.2, 0.5
+#: Blocks are short below MIN_CHARS and long from LONG_CHARS on.
+MIN_CHARS, LONG_CHARS, STOP_DENSITY, LOW_DENSITY, LINK_DENSITY = 70, 200, 0.2, 0.05, 0.5
 
 
 class _Block:
@@ -74,7 +81,7 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
         elif key == "role":
             boiler |= value.lower() in BOILER_ROLES
         elif key in ("class", "id") and name not in ("html", "body", "article", "main"):
-            words = {w.lower() for w in _WORDS.findall(value)}
+            words = {w.lower() for w in _WORDS.findall(_LAYOUT.sub("", value))}
             if name in INLINE:
                 hidden |= not words.isdisjoint(AD_WORDS)
             boiler |= not words.isdisjoint(BOILER_WORDS)
@@ -165,40 +172,73 @@ def blocks(html: str) -> Iterator[tuple[str, float, bool, int, bool, int]]:
     return iter(out)
 
 
-def classify(found: list[tuple[str, float, bool, int, bool, int]]) -> list[bool]:
-    """Which blocks are text."""
-    first = []
-    for text, links, boiler, body, _, _ in found:
-        if boiler or links > LINK_DENSITY:
-            first.append(BOILERPLATE)
-            continue
+def first_pass(found: list[tuple[str, float, bool, int, bool, int]]) -> list[tuple[int | None, str]]:
+    """Label and deciding rule of each block by itself."""
+    out, middling = [], []
+    for i, (text, links, boiler, body, _, _) in enumerate(found):
         words = text.lower().split() if len(text) >= MIN_CHARS else ()
-        dense = words and sum(map(STOP_WORDS.__contains__, words)) >= STOP_DENSITY * len(words)
-        first.append(TEXT if dense else OPEN)
+        density = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
+        if links > LINK_DENSITY:
+            out.append((BOILERPLATE, "links"))
+        elif boiler:
+            out.append((BOILERPLATE, "mark"))
+        elif len(text) >= LONG_CHARS and density >= STOP_DENSITY:
+            out.append((TEXT, "density"))
+        elif len(text) >= LONG_CHARS and density < LOW_DENSITY and not body:
+            out.append((BOILERPLATE, "density"))
+        else:
+            if density >= STOP_DENSITY:
+                middling.append(i)
+            out.append((OPEN, ""))
+    if not any(label == TEXT for label, _ in out):
+        for i in middling:
+            out[i] = (TEXT, "density")
+    return out
+
+
+def judged(found: list[tuple[str, float, bool, int, bool, int]]) -> list[tuple[bool, str]]:
+    """Whether each block is text, and the rule that decided: links, mark, density, neighbours, article or hint."""
+    first = first_pass(found)
     n = len(found)
     before, after, last = [None] * n, [None] * n, None
     for i in range(n):
         before[i] = last
-        last = i if first[i] is not OPEN else last
+        last = i if first[i][0] is not OPEN else last
     last = None
     for i in reversed(range(n)):
         after[i] = last
-        last = i if first[i] is not OPEN else last
+        last = i if first[i][0] is not OPEN else last
+    # Where the article or main element that a block is in begins and ends.
+    begin, end = list(range(n)), list(range(n))
+    for i in range(1, n):
+        begin[i] = begin[i - 1] if found[i][3] == SURE == found[i - 1][3] else i
+    for i in reversed(range(n - 1)):
+        end[i] = end[i + 1] if found[i][3] == SURE == found[i + 1][3] else i
     out = []
-    for i, verdict in enumerate(first):
-        if verdict is OPEN:
-            sides = [j for j in (before[i], after[i]) if j is not None]
-            votes = {first[j] for j in sides}
-            if found[i][3] == SURE or found[i][3] == HINTED and (not sides or len(found[i][0]) >= MIN_CHARS):
-                verdict = TEXT
-            elif len(votes) == 1:
-                verdict = votes.pop()
-            else:
-                verdict = TEXT if any(first[j] == TEXT and found[j][5] == found[i][5] for j in sides) else BOILERPLATE
-        out.append(verdict == TEXT)
+    for i, (label, rule) in enumerate(first):
+        if label is not OPEN:
+            out.append((label == TEXT, rule))
+            continue
+        sure = found[i][3] == SURE
+        sides = [None if j is None or sure and not begin[i] <= j <= end[i] else j for j in (before[i], after[i])]
+        near = [j for j in sides if j is not None]
+        labels = {first[j][0] for j in near} if len(near) == 2 else {BOILERPLATE, *(first[j][0] for j in near)}
+        if sure and len(near) < 2:
+            out.append((True, "article"))
+        elif found[i][3] == HINTED and (not near or len(found[i][0]) >= MIN_CHARS):
+            out.append((True, "hint"))
+        elif len(labels) == 1:
+            out.append((labels.pop() == TEXT or sure, "neighbours"))
+        else:
+            out.append((sure or any(first[j][0] == TEXT and found[j][5] == found[i][5] for j in near), "neighbours"))
     return out
 
 
+def classify(found: list[tuple[str, float, bool, int, bool, int]]) -> list[bool]:
+    """Which blocks are text."""
+    return [kept for kept, _ in judged(found)]
+
+
 def main_text(html: str | None) -> str:
     found = list(blocks(html or ""))
     return "\n".join(b[0] for b, keep in zip(found, classify(found), strict=True) if keep)

@@ -200,3 +200,62 @@ def test_pipeline(sp, tmp_path):
     empty = whole.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(sp, empty, SF).count() == 0
+
+
+def slow_judged(found):
+    """The two passes as they are stated, looking outward from every open block."""
+    from millrace.llm import extract as x
+
+    first = [label for label, _ in x.first_pass(found)]
+    out = []
+    for i, (text, _, _, body, _, box) in enumerate(found):
+        if first[i] is not None:
+            out.append(first[i] == x.TEXT)
+            continue
+        sides = []
+        for way in (range(i - 1, -1, -1), range(i + 1, len(found))):
+            side = ("edge", x.BOILERPLATE, None)
+            for j in way:
+                if body == x.SURE and found[j][3] != x.SURE:
+                    break
+                if first[j] is not None:
+                    side = ("block", first[j], found[j][5])
+                    break
+            if body == x.SURE and side[0] == "edge":
+                side = ("edge", x.TEXT, box)
+            sides.append(side)
+        labels = {label for _, label, _ in sides}
+        if body == x.SURE:
+            out.append(True)
+        elif body == x.HINTED and (all(kind == "edge" for kind, _, _ in sides) or len(text) >= x.MIN_CHARS):
+            out.append(True)
+        elif len(labels) == 1:
+            out.append(x.TEXT in labels)
+        else:
+            out.append(any(label == x.TEXT and b == box for _, label, b in sides))
+    return out
+
+
+def test_two_passes():
+    from millrace.llm import extract as x
+
+    rng = random.Random(5)
+    for _ in range(400):
+        found = [(" ".join(rng.choice(["the", "of", "zork", "blim"][: rng.choice([2, 4])]) for _ in range(rng.choice([3, 30, 80]))), rng.choice([0, 0, 0, 1.0]), rng.random() < 0.15, rng.choice([0, 0, 1, 2]), False, rng.randint(1, 3)) for _ in range(rng.randint(0, 12))]
+        assert x.classify(found) == slow_judged(found)
+
+
+def test_rules_decide(sp):
+    """How many blocks each rule decides; and with containers renamed and classes gone most pages give the same text."""
+    import re
+    from collections import Counter
+
+    from millrace.llm import extract as x
+
+    rules, same, pages = Counter(), 0, [r.html or "" for r in sp.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    for html in pages:
+        rules.update(rule for _, rule in x.judged(list(x.blocks(html))))
+        bare = re.sub(r'\s(?:class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|main|nav|footer|header|aside|section)\b", r"<\1div", html))
+        same += main_text(bare) == main_text(html)
+    assert min(rules[r] for r in ("links", "density", "neighbours", "mark")) > len(pages) and rules["mark"] < 0.2 * rules.total()
+    assert same >= 0.75 * len(pages)
