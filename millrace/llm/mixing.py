@@ -1,15 +1,17 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source is expected as often as the source's target goes into its size. The prefix sum of these
-expected copies within the source, shifted by one offset in [0, 1), passes integers; a document is emitted once for
+expected copies within the source, shifted by one random offset in [0, 1), passes integers; a document is emitted once for
 each that it crosses. Documents are laid out by size (its number of binary digits, then a salt, then the size
-itself), so that each stretch of the sum has short and long ones. The offset is the best of DRAWS random ones: the one
-whose words taken come nearest to the target.
+itself), so that each stretch of the sum has short and long ones and one offset brings the words taken near the target.
 
-The prefix sum is a rank times a rate, and ranks are dealt over (source, digits, salt): no task holds a source.
+The prefix sum is a rank times a rate, and ranks are dealt over (source, digits, salt): no task holds a source. Salts hash
+the row's id and text, and there are more of them in larger tables. One row a source is ordered in one task.
 
-A null text has size 0; a null source is a source, the last; repeated rows are drawn each for itself; an empty table
-gives no rows; a source without words has target and takes 0. Extra columns pass through mix().
+A null text has size 0; a null source is a source, the last; documents of one size are in the order of salt, id (null
+first) and text, so that reruns agree; wholly equal rows are drawn each for itself and are told apart by nothing; texts of
+any length count whole; an empty table gives no rows; a source without words has target and takes 0. Extra columns pass
+through mix() under any name.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, ranked, small, stored
+from .common import WORD, documents, ranked, renamed, small, stored
 
-WEIGHTS, MOST, SALTS, DRAWS, SEED = (1, 2, 3), 3, 256, 16, "mix-1"
+WEIGHTS, MOST, SEED = (1, 2, 3), 3, "mix-1"
+#: Salts at least, and rows for each salt in larger tables.
+SALTS, SALTED = 256, 1 << 16
 
 
 def word_count(text: str = "text"):
@@ -45,55 +49,51 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def _offset(draw: int):
-    """The draw-th number in [0, 1) of a source."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}-{draw}-"), F.coalesce("source", F.lit("")))), 1, 6), 16, 10).cast("double") / 16777216.0
+def _digits(text, n: int):
+    """The first n hexadecimal digits of a text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, n), 16, 10).cast("long")
 
 
-def _crossed(offset):
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return (F.floor((F.col("rank") + 1) * rate + offset) - F.floor(F.col("rank") * rate + offset)).cast("int")
-
-
-def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows with their rank in the layout and their source's columns of the stored table."""
-    salt = F.length(F.bin("size")) * SALTS + F.coalesce(F.pmod("doc_id", F.lit(SALTS)), F.lit(0))
-    named = targets.withColumnRenamed("source", "_source")
-    return ranked(sized, ["source"], [F.col("size"), F.col("doc_id")], salt).join(small(named, targets), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+def _offset():
+    """The source's random number in [0, 1)."""
+    return _digits(F.concat(F.lit(f"{SEED}-"), F.coalesce("source", F.lit(""))), 6).cast("double") / 16777216.0
 
 
-def source_offsets(sizes: DataFrame, draws: int = DRAWS) -> DataFrame:
-    """source, source_size, target and offset from rows of (doc_id, source, size): of each source's draws the one whose mix is nearest to the target."""
-    targets = stored(source_targets(sizes.select("source", "size")), "targets")
-    placed = _placed(sizes.select("doc_id", "source", "size"), targets)
-    sums = placed.groupBy("source", "source_size", "target").agg(*(F.sum(_crossed(_offset(j)) * F.col("size")).alias(f"t{j}") for j in range(draws)))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("e"), F.lit(j).alias("j"), _offset(j).alias("u")) for j in range(draws))))
-    return stored(sums.select("source", "source_size", "target", best.getField("u").alias("offset")), "offsets")
+def sizes_of(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, mark (of the text)."""
+    return docs.select("doc_id", "source", word_count().alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("mark"))
 
 
-def with_copies(docs: DataFrame, size=None) -> DataFrame:
-    """docs with size, source_size, target and copies."""
-    sized = docs.withColumn("size", word_count() if size is None else size)
-    sizes = stored(sized.select("doc_id", "source", "size"), "sizes")
-    return _placed(sized, source_offsets(sizes)).withColumn("copies", _crossed(F.col("offset"))).drop("rank", "offset")
+def with_copies(sized: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (doc_id, source, size, mark and more) with source_size, target and copies, by the stored sizes of the same rows."""
+    targets = stored(source_targets(sizes.select("source", "size")).withColumn("offset", _offset()), "targets")
+    salts = max(SALTS, -(-sizes.count() // SALTED))
+    salt = F.length(F.bin("size")) * F.lit(salts).cast("long") + _digits(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), "mark"), 8) % salts
+    named = targets.withColumnRenamed("source", "_source")
+    placed = ranked(sized, ["source"], [F.col("size"), F.col("doc_id"), F.col("mark")], salt).join(small(named, targets), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    crossed = F.floor((F.col("rank") + 1) * rate + F.col("offset")) - F.floor(F.col("rank") * rate + F.col("offset"))
+    return placed.withColumn("copies", crossed.cast("int")).drop("rank", "offset", "mark")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The columns of docs, each row as often as the mix takes it."""
-    columns = docs.columns
-    held = docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(columns) if c not in ("doc_id", "source", "text")})
-    taken = with_copies(held).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*(F.col(c if c in ("doc_id", "source", "text") else f"_{i}").alias(c) for i, c in enumerate(columns)))
+    own = renamed(docs, "doc_id", "source", "text")
+    sizes = stored(sizes_of(own), "sizes")
+    sized = own.withColumns({"size": word_count(), "mark": F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
+    taken = with_copies(sized, sizes).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*own.columns).toDF(*docs.columns)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    sizes = stored(documents(spark, sf_dir).select("doc_id", "source", word_count().alias("size")), "sizes")
-    return _placed(sizes, source_offsets(sizes)).withColumn("copies", _crossed(F.col("offset"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    sizes = stored(sizes_of(documents(spark, sf_dir)), "sizes")
+    return with_copies(sizes, sizes).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP6_SQL = r"""
-WITH sized AS (SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(COALESCE(text, '')) AS mark FROM documents),
+n AS (SELECT greatest(256, CAST(ceil(COUNT(*) / 65536.0) AS BIGINT)) AS salts FROM sized),
 s0 AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM s0),
 s2 AS (SELECT *, SUM(source_size) OVER () AS total, SUM(w) OVER () - SUM(w) OVER o + w AS left_w, SUM(cap) OVER o - cap AS before
@@ -102,10 +102,8 @@ s3 AS (SELECT *, (total - before) * w > cap * left_w AS is_full FROM s2),
 s4 AS (SELECT *, COALESCE(SUM(CASE WHEN is_full THEN cap END) OVER (), 0) AS spent, SUM(CASE WHEN NOT is_full THEN w END) OVER () AS open_w FROM s3),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE CAST(w * (total - spent) AS DOUBLE) / CAST(open_w AS DOUBLE) END AS target FROM s4),
 r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-             row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * 256 + COALESCE(d.doc_id % 256, 0), d.size, d.doc_id) - 1 AS rnk
-      FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-u AS (SELECT source, j, CAST(CAST('0x' || substr(md5('mix-1-' || j || '-' || COALESCE(source, '')), 1, 6) AS INT) AS DOUBLE) / 16777216.0 AS u FROM s0, (SELECT UNNEST(range(0, 16)) AS j)),
-e AS (SELECT r.source, j, u, abs(SUM((floor((rnk + 1) * rate + u) - floor(rnk * rate + u)) * size) - any_value(target)) AS e FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source GROUP BY r.source, j, u),
-b AS (SELECT source, u FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY e, j) = 1)
-SELECT doc_id, size, source_size, target, CAST((floor((rnk + 1) * rate + u) - floor(rnk * rate + u)) * size AS BIGINT) AS taken FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source
+             CAST(CAST('0x' || substr(md5('mix-1-' || COALESCE(d.source, '')), 1, 6) AS INT) AS DOUBLE) / 16777216.0 AS u,
+             row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * salts + CAST('0x' || substr(md5(COALESCE(CAST(d.doc_id AS VARCHAR), '') || '-' || d.mark), 1, 8) AS BIGINT) % salts, d.size, d.doc_id NULLS FIRST, d.mark) - 1 AS rnk
+      FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source, n)
+SELECT doc_id, size, source_size, target, CAST((floor((rnk + 1) * rate + u) - floor(rnk * rate + u)) * size AS BIGINT) AS taken FROM r
 """
