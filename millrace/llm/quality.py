@@ -41,16 +41,16 @@ def mask(policy: str) -> int:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and the measurements of each row.
 
-    Windows are compared by 64-bit hashes; only texts whose hashes are not all distinct have theirs sorted. A
-    window's words count once however many found windows cover them.
+    Texts whose windows' 64-bit hashes are not all distinct have the windows sorted, by hash and then by their words, so
+    that words decide what is equal. A window's words count once however many found windows cover them.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     split = docs.select("doc_id", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("words"), lines.alias("lines"), F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"), F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
     windows = F.expr("CASE WHEN size(words) > 2 THEN transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) ELSE CAST(array() AS array<bigint>) END")
-    hashed = split.select("doc_id", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("h"))
-    ordered = hashed.withColumn("s", F.expr("CASE WHEN size(array_distinct(h)) < size(h) THEN sort_array(transform(h, (x, i) -> struct(x AS h, i AS i))) ELSE CAST(array() AS array<struct<h: bigint, i: int>>) END")).drop("h")
-    found = ordered.withColumn("p", F.expr("sort_array(transform(filter(s, (x, i) -> (i > 0 AND s[greatest(i - 1, 0)].h = x.h) OR (i < size(s) - 1 AND s[least(i + 1, size(s) - 1)].h = x.h)), x -> x.i))"))
+    hashed = split.select("doc_id", "words", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("h"))
+    ordered = hashed.withColumn("s", F.expr("CASE WHEN size(array_distinct(h)) < size(h) THEN sort_array(transform(h, (x, i) -> struct(struct(x AS h, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c) AS w, i AS i))) ELSE CAST(array() AS array<struct<w: struct<h: bigint, a: string, b: string, c: string>, i: int>>) END")).drop("h", "words")
+    found = ordered.withColumn("p", F.expr("sort_array(transform(filter(s, (x, i) -> (i > 0 AND s[greatest(i - 1, 0)].w = x.w) OR (i < size(s) - 1 AND s[least(i + 1, size(s) - 1)].w = x.w)), x -> x.i))"))
     covered = F.expr("aggregate(p, struct(CAST(0 AS bigint) AS e, CAST(0 AS bigint) AS t), (a, x) -> struct(CAST(x + 3 AS bigint) AS e, CAST(a.t + x + 3 - greatest(x, a.e) AS bigint) AS t), a -> a.t)")
     return found.select("doc_id", "n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
@@ -86,6 +86,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~keeps("base-1")).alias("base_failed"), keeps().alias("kept"), "failures")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy does to the corpus: rule, n_failing, n_only, n_kept_without."""
+    return ablations(ledger(documents(spark, sf_dir)))
+
+
 OP7_SQL = r"""
 WITH w AS (SELECT doc_id, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words,
                   list_filter(string_split(COALESCE(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, row_number() OVER () AS k FROM documents),
@@ -100,3 +105,9 @@ b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
              + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT AS INT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures & 63 = 0 AS kept, failures FROM b
 """
+
+ABLATIONS_SQL = f"""
+WITH l AS ({OP7_SQL}), r AS (SELECT * FROM (VALUES {", ".join(f"('{r}', {BIT[r]})" for r in POLICIES[CURRENT])}) v(rule, bit))
+SELECT rule, CAST(COUNT(*) FILTER (failures & bit <> 0) AS BIGINT) AS n_failing, CAST(COUNT(*) FILTER (failures = bit) AS BIGINT) AS n_only,
+       CAST(COUNT(*) FILTER (failures & ~bit = 0) AS BIGINT) AS n_kept_without FROM l, r GROUP BY rule
+"""
