@@ -1,20 +1,21 @@
 """License scan: phrase places, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a passage of as many consecutive words as a template has that may run over lines (not over one
-without words, as between paragraphs; comment marks are no words), so that notices wrapped over lines are found; such
-a passage is held against templates of its length or longer ones only. OP9_SQL knows the lines alone: on texts with
-wrapped notices the operator finds more than it. A template is found in a block if the block holds at least `threshold` of the template's distinct
-words. Words are put in one global order, rarest in the corpus first, and three filters leave few pairs to verify:
-length (a block needs as many template words as the least that the threshold asks for), prefix (overlap of a needs one
-of the first |T| - a + 1 words of the template among the first |B| - a + 1 of the block) and position (what is left of
-both after the words that meet must still reach a). The filters lose nothing; pairs left are verified by intersection.
-
-Only words of templates can count towards an overlap, so blocks are cut down to these first. Word frequencies are
+A block is a passage of as many consecutive words as some template has, starting at a template's word, within a paragraph:
+passages run over line ends (comment marks are no words), so that wrapped notices are found, but not over a line without
+words. A template is found in a passage of its length or shorter that holds at least `threshold` of its distinct words.
+Words are put in one global order, rarest in the corpus first, and three filters leave few pairs to verify: length (a
+block needs as many template words as the least that the threshold asks for, and has no more words than the template),
+prefix (overlap of a needs one of the first |T| - a + 1 words of the template among the first |B| - a + 1 of the block) and
+position (what is left of both after the words that meet must still reach a). The filters lose nothing; pairs left are
+verified by intersection.
+
+Each text is split into words once. A text that as a whole lacks the words that every template needs has no such passage,
+and one without all of a phrase's words no phrase; only texts that pass, in full, are looked at further. Word frequencies are
 counted over all rows; one number for each template word (their union is fixed and small) reaches the driver. The
 templates are broadcast: their number does not depend on the data. Built-in functions only.
 
 A null text is empty: no words, null first_word and last_word, empty labels, score 0. Repeated rows are scanned each
-by itself; an empty table gives no rows; extra columns are ignored; lines of any length are read whole.
+by itself; an empty table gives no rows; extra columns are ignored; texts and lines of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, small, stored
 
 # The phrases and labels of the base scan.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -43,6 +44,11 @@ TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit-grant",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
+    "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work": "cc0",
 }
 THRESHOLD = 0.8
 
@@ -61,24 +67,24 @@ def _words(upto) -> F.Column:
     return F.regexp_count(upto, F.lit(f"{IN}+")).cast("long")
 
 
-def base_scan(docs: DataFrame, phrases: dict[str, str], keep: list[str]) -> DataFrame:
-    """n_words, n_base, first_word, last_word and base (an array of labels) beside the columns to keep."""
-    text, pattern = F.coalesce("text", F.lit("")), phrase_pattern(phrases)
-    found = docs.select(*keep, text.alias("text"), F.regexp_count(text, F.lit(pattern)).cast("long").alias("n_base"))
+def base_columns(phrases: dict[str, str]) -> dict[str, F.Column]:
+    """n_base, first_word, last_word and base (an array of labels) of a text; null text: none."""
+    pattern = phrase_pattern(phrases)
+    places = F.coalesce(F.regexp_count(F.col("text"), F.lit(pattern)), F.lit(0)).cast("long")
     some = F.col("n_base") > 0
     # The text up to the last place: what a greedy match takes before it.
     first = F.when(some, _words(F.expr(f"substring(text, 1, regexp_instr(text, r'{pattern}') - 1)")))
     last = F.when(some, _words(F.regexp_extract("text", f"(?s)^(.*){pattern}", 1)))
     labels = F.array_compact(F.array(*(F.when(some & F.col("text").rlike(phrase_pattern([p])), F.lit(label)) for p, label in phrases.items())))
-    return found.select(*keep, "text", _words(F.col("text")).alias("n_words"), "n_base", first.alias("first_word"), last.alias("last_word"), labels.alias("base"))
+    return {"n_base": places, "first_word": first, "last_word": last, "base": labels}
 
 
 def least_overlap(n: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * n - 1e-9))
 
 
-def template_matches(scanned: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """row_id, label, containment of every block and template that meet the threshold; scanned has row_id and blocks (b, an array of distinct template words, and width, the words of a passage or 0 for a line)."""
+def template_matches(scanned: DataFrame, blocked: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """row_id, label, containment of every block and template that meet the threshold; scanned has every text's vocabulary, blocked row_id and blocks (b, an array of distinct template words, and width, the words of a passage)."""
     spark = scanned.sparkSession
     sets = {t: sorted(set(t.split(" "))) for t in templates}
     counted = {r.w: r.n for r in scanned.select(F.explode("vocabulary").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -90,7 +96,7 @@ def template_matches(scanned: DataFrame, templates: dict[str, str], threshold: f
         rows += [(k, p, a, len(t.split(" ")), len(tokens), tokens, templates[t]) for p, k in enumerate(tokens[: len(tokens) - a + 1])]
     prefixes = F.broadcast(spark.createDataFrame(rows, "token int, t_at int, need int, t_words int, t_size int, t_tokens array<int>, label string"))
     at = F.lit(order)
-    blocks = scanned.where(F.size("blocks") > 0).select("row_id", F.explode("blocks").alias("s")).select("row_id", "s.width", F.array_sort(F.transform("s.b", lambda w: F.array_position(at, w).cast("int"))).alias("b"))
+    blocks = blocked.select("row_id", F.explode("blocks").alias("s")).select("row_id", "s.width", F.array_sort(F.transform("s.b", lambda w: F.array_position(at, w).cast("int"))).alias("b"))
     pairs = blocks.select("row_id", "width", "b", F.posexplode("b").alias("b_at", "token")).join(prefixes, "token")
     # The first token that both prefixes share decides a pair, so it is verified once.
     meet = F.col("b_at") <= F.size("b") - F.col("need")
@@ -100,46 +106,56 @@ def template_matches(scanned: DataFrame, templates: dict[str, str], threshold: f
     return same.select("row_id", "label", (F.size(both) / F.col("t_size")).alias("containment"))
 
 
-def wrapped_blocks(cut: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """cut (text, vocabulary) with wrapped, the passages that hold enough of some template's words."""
-    sets = [(len(t.split(" ")), sorted(set(t.split(" ")))) for t in templates]
-    longest = max(n for n, _ in sets)
+def _enough(words, template: list[str], threshold: float):
+    return F.size(F.array_intersect(words, F.lit(template))) >= least_overlap(len(template), threshold)
+
 
-    def enough(words, t: list[str]):
-        return F.size(F.array_intersect(words, F.lit(t))) >= least_overlap(len(t), threshold)
+def passages(templates: dict[str, str], threshold: float):
+    """The blocks of a text whose vocabulary some template allows: distinct sets of template words with their width."""
+    sets = [(len(t.split(" ")), sorted(set(t.split(" ")))) for t in templates]
+    longest, union = max(n for n, _ in sets), sorted({w for _, t in sets for w in t})
 
     def line(x):
         words = F.filter(F.split(x, f"{OUT}+"), lambda w: w != "")
         return F.when(F.size(words) > 0, words).otherwise(F.array_repeat(F.lit(""), longest))  # no passage spans it
 
-    def passages(n: int, t: list[str]):
+    def of(n: int, t: list[str]):
         starts = F.filter(F.sequence(F.lit(1), F.size("stream")), lambda i: F.array_contains(F.lit(t), F.element_at("stream", i)))
-        found = F.filter(F.transform(starts, lambda i: F.array_sort(F.array_intersect(F.slice("stream", i, F.lit(n)), F.lit(t)))), lambda b: F.size(b) >= least_overlap(len(t), threshold))
-        return F.when(F.col("stream").isNotNull() & enough("vocabulary", t), F.transform(F.array_distinct(found), lambda b: F.struct(b.alias("b"), F.lit(n).alias("width"))))
+        found = F.transform(starts, lambda i: F.array_sort(F.array_intersect(F.slice("stream", i, F.lit(n)), F.lit(union))))
+        long_enough = F.filter(F.array_distinct(found), lambda b: F.size(b) >= least_overlap(len(t), threshold))
+        return F.when(_enough("vocabulary", t, threshold), F.transform(long_enough, lambda b: F.struct(b.alias("b"), F.lit(n).alias("width"))))
 
-    # A text that lacks the words of every template as a whole has no passage either; few texts are looked at further.
-    some = F.lit(False)
-    for _, t in sets:
-        some = some | enough("vocabulary", t)
-    stream = cut.withColumn("stream", F.when(some, F.flatten(F.transform(F.split(F.translate("text", UPPER, LOWER), "\n"), line))))
-    return stream.withColumn("wrapped", F.flatten(F.array_compact(F.array(*(passages(n, t) for n, t in sets))))).drop("stream")
+    stream = F.flatten(F.transform(F.split(F.translate("text", UPPER, LOWER), "\n"), line))
+    return stream, F.flatten(F.array_compact(F.array(*(of(n, t) for n, t in sets))))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base (labels of phrases), found (labels of both), score."""
-    sets = [set(t.split(" ")) for t in templates]
+    sets = [sorted(set(t.split(" "))) for t in templates]
     union, least = sorted(set().union(*sets)), min(least_overlap(len(s), threshold) for s in sets)
-    ours = F.lit(union)
-    # Lines with too few words of any template fall to the length filter before their words are looked at one by one.
-    lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_count(x, F.lit(rf"(?i)(?<!{IN})(?:{'|'.join(union)})(?!{IN})")) >= least)
-    words = F.transform(lines, lambda x: F.array_intersect(F.split(F.translate(x, UPPER, LOWER), f"{OUT}+"), ours))
-    base = base_scan(docs.withColumn("row_id", F.monotonically_increasing_id()), phrases, ["row_id", "doc_id"])
-    seen = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(rf"(?i)(?<!{IN})(?:{'|'.join(union)})(?!{IN})"), F.lit(0)))
-    cut = wrapped_blocks(base.withColumns({"blocks": words, "vocabulary": F.array_distinct(F.transform(seen, lambda w: F.lower(w)))}), templates, threshold).drop("text")
-    single = F.transform(F.filter("blocks", lambda b: F.size(b) >= least), lambda b: F.struct(b.alias("b"), F.lit(0).alias("width")))
-    scanned = stored(cut.withColumn("blocks", F.concat(single, "wrapped")).drop("wrapped"), "scan")
-    best = template_matches(scanned, templates, threshold).groupBy("row_id").agg(F.max("containment").alias("score"), F.collect_set("label").alias("more"))
-    out = scanned.select("row_id", "doc_id", "n_words", "n_base", "first_word", "last_word", "base").join(best, "row_id", "left")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_id", F.monotonically_increasing_id())
+    # Lower case by Unicode only widens what is looked at further, and cuts words at the same places.
+    split = rows.withColumn("low", F.lower("text")).withColumn("words", F.split("low", f"{OUT}+"))
+    ends = (F.element_at("words", 1) == "").cast("int") + ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
+    phrase = F.lit(False)
+    for p in phrases:
+        every = F.lit(True)
+        for w in sorted(p.split(" "), key=len, reverse=True):
+            every = every & F.contains("low", F.lit(w))
+        phrase = phrase | every
+    cut = split.select("row_id", "doc_id", "text", (F.size("words") - ends).cast("long").alias("n_words"), phrase.alias("phrase"), F.array_intersect("words", F.lit(union)).alias("vocabulary"))
+    template = F.lit(False)
+    for s in sets:
+        template = template | _enough("vocabulary", s, threshold)
+    template = F.when(F.size("vocabulary") >= least, template).otherwise(F.lit(False))
+    scanned = stored(cut.withColumn("template", template).withColumn("text", F.when(F.col("phrase") | F.col("template"), F.col("text"))), "scan")
+    stream, blocks = passages(templates, threshold)
+    blocked = stored(scanned.where("template").withColumn("stream", stream).select("row_id", blocks.alias("blocks")), "blocks")
+    best = template_matches(scanned, blocked, templates, threshold).groupBy("row_id").agg(F.max("containment").alias("score"), F.collect_set("label").alias("more"))
+    kept = stored(best, "matches")
+    columns = base_columns(phrases)
+    based = scanned.withColumn("text", F.when(F.col("phrase"), F.col("text"))).withColumn("n_base", columns.pop("n_base")).withColumns(columns)
+    out = based.select("row_id", "doc_id", "n_words", "n_base", "first_word", "last_word", "base").join(small(kept), "row_id", "left")
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base", F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))).alias("found"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -162,9 +178,13 @@ w AS (SELECT k, doc_id, text, regexp_extract_all(text, '{w}') AS words FROM d),
 p AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES {phrases}) v(p, label)),
 hits AS (SELECT w.k, i, p.label FROM w, p, LATERAL (SELECT UNNEST(range(1, len(w.words) - len(p.p) + 2)) AS i) WHERE words[i] = p.p[1] AND list_slice(words, i, i + len(p.p) - 1) = p.p),
 b AS (SELECT k, CAST(COUNT(*) AS BIGINT) AS n_base, CAST(MIN(i) - 1 AS BIGINT) AS first_word, CAST(MAX(i) - 1 AS BIGINT) AS last_word, list(DISTINCT label) AS base FROM hits GROUP BY k),
-t AS (SELECT list_distinct(string_split(t, ' ')) AS t, label FROM (VALUES {templates}) v(t, label)),
-l AS (SELECT k, list_distinct(regexp_extract_all(UNNEST(string_split(text, chr(10))), '{w}')) AS b FROM d),
-m AS (SELECT k, label, len(list_intersect(b, t)) / CAST(len(t) AS DOUBLE) AS c FROM l, t WHERE len(list_intersect(b, t)) >= greatest(1, ceil({THRESHOLD} * len(t) - 1e-9))),
+t AS (SELECT list_distinct(string_split(t, ' ')) AS t, len(string_split(t, ' ')) AS n, label FROM (VALUES {templates}) v(t, label)),
+l AS (SELECT k, i, regexp_extract_all(line, '{w}') AS words FROM (SELECT k, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+g AS (SELECT k, i, words, SUM(CAST(len(words) = 0 AS INT)) OVER (PARTITION BY k ORDER BY i) AS para, COALESCE(SUM(len(words)) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+o AS (SELECT k, para, before + j AS at, w FROM (SELECT k, para, before, UNNEST(words) AS w, generate_subscripts(words, 1) AS j FROM g)),
+x AS (SELECT o.*, t.label, t.n, len(t.t) AS size FROM o JOIN (SELECT UNNEST(t) AS w, t.* FROM t) t USING (w)),
+m AS (SELECT a.k, a.label, COUNT(DISTINCT b.w) / CAST(any_value(a.size) AS DOUBLE) AS c FROM x a JOIN x b ON a.k = b.k AND a.para = b.para AND a.label = b.label AND b.at >= a.at AND b.at < a.at + a.n
+      GROUP BY a.k, a.label, a.at HAVING COUNT(DISTINCT b.w) >= greatest(1, ceil({THRESHOLD} * any_value(a.size) - 1e-9))),
 s AS (SELECT k, MAX(c) AS score, list(DISTINCT label) AS more FROM m GROUP BY k)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, COALESCE(n_base, 0) AS n_base, first_word, last_word, COALESCE(array_to_string(list_sort(base), ','), '') AS base_labels,
        COALESCE(array_to_string(list_sort(list_distinct(list_concat(COALESCE(base, []), COALESCE(more, [])))), ','), '') AS labels, COALESCE(score, 0) AS score

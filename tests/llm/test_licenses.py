@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from millrace.llm import licenses
@@ -32,6 +35,33 @@ def test_wrapped(sp, mark):
 def test_not_wrapped(sp):
     """Words of a template in two paragraphs, or far apart, are no notice."""
     far = ("filler words stand here\n" * 9).join(["Released here\n", "under the\n", "MIT so\n", "license"])
-    rows = [(0, BSD.replace("\n", "\n\n")), (1, far), (2, "")]
+    scattered = " ".join(f"{w} filler stands here" for w in BSD.split())
+    rows = [(0, BSD.replace("\n", "\n\n")), (1, far), (2, ""), (3, scattered * 30), (4, "wor\u212a " * 9)]
     got = licenses.scan(sp.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(not r.found and r.score == 0 for r in got)
+
+
+def test_against_all_passages(sp):
+    """Every window of every paragraph, held against every template."""
+    rng = random.Random(2)
+    words = sorted({w for t in licenses.TEMPLATES for w in t.split(" ")})
+    rows = []
+    for i in range(120):
+        t = rng.choice(list(licenses.TEMPLATES)).split(" ")
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(len(t))] = rng.choice([*words, "other"])
+        noise = [rng.choice([*words[:9], "x", "y"]) for _ in range(rng.randint(0, 9))]
+        rows.append((i, rng.choice(["", " \n- "]).join(w + rng.choice([" ", ", ", "\n# ", " "]) for w in [*noise, *t, *noise]) + rng.choice(["", "\n\nthe end"])))
+    got = {r.doc_id: r for r in licenses.scan(sp.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        best = {}
+        for para in re.split(r"(?:^|\n)[^a-z0-9\n]*(?=\n|$)", text):
+            stream = re.findall("[a-z0-9]+", para)
+            for t, label in licenses.TEMPLATES.items():
+                of = set(t.split(" "))
+                for a in range(len(stream)):
+                    c = len(of & set(stream[a : a + len(t.split(" "))])) / len(of)
+                    if c >= 0.8 - 1e-9:
+                        best[label] = max(best.get(label, 0), c)
+        assert set(got[i].found) - set(licenses.PHRASES.values()) == set(best) - set(licenses.PHRASES.values()), text
+        assert got[i].score == pytest.approx(max(best.values(), default=0))
