@@ -156,6 +156,23 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], salt: Column, na
     return at.join(small(named, before), on).withColumn(name, (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_salt", "_before", "_at", *(f"_k{i}" for i in range(len(by))))
 
 
+#: A key is hot with more rows than this, and with more than one in HOT_SHARE of all, so that there are HOT_SHARE hot keys at most.
+HOT_ROWS, HOT_SHARE = 1000, 100_000
+
+
+def named_by(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Stored rows left-joined with the stored names of their keys (one row a key), where one key may hold a third of all rows.
+
+    Rows of hot keys stay where they are and meet a broadcast of these keys' names, HOT_SHARE at most; the rest is shuffled.
+    """
+    least = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    hot = F.broadcast(stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(key), "hot"))
+    few = F.broadcast(stored(names.join(hot, key, "left_semi"), "names"))
+    columns = [*rows.columns, *(c for c in names.columns if c != key)]
+    kept = rows.join(hot, key, "left_semi").join(few, key, "left").select(*columns)
+    return kept.union(rows.join(hot, key, "left_anti").join(names, key, "left").select(*columns))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge list (a, b), component being its smallest node.
 

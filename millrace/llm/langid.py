@@ -13,7 +13,7 @@ driver sums PARTS tables of pieces by languages. Everything else reads every wor
 Words are runs of letters (A-Z lower-cased, every byte beyond ASCII taken as one). The score is the posterior of the
 predicted language among those learned; ties go to the first by name. A null text or one without a letter is `und`
 with score 0, as is everything if nothing could be learned. A null doc_id counts as held out. Repeated rows are judged
-alike; extra columns are ignored, or passed through under any name if asked to; an empty table gives no rows.
+alike; extra columns are ignored, or passed through under any name by keep_identified; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -331,13 +331,22 @@ def train(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS,
     return trie, langs, fit(words, trie, len(langs))
 
 
-def identify(docs: DataFrame, vocabulary_path: str | None = None, keep: bool = False) -> DataFrame:
-    """doc_id (or with keep, every column of docs), lang_pred and score of every row. With keep, columns of docs of those names come first under their own."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, vocabulary_path or default_vocabulary()))
-    rows = renamed(docs, "text") if keep else docs.select("doc_id", "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) if keep else "doc_id bigint"
-    out = rows.mapInArrow(_predict(model, keep), f"{schema}, lang_pred string, score double")
-    return out.toDF(*docs.columns, "lang_pred", "score") if keep else out
+def _predicted(rows: DataFrame, vocabulary_path: str | None, keep: bool) -> DataFrame:
+    model = rows.sparkSession.sparkContext.broadcast(train(rows, vocabulary_path or default_vocabulary()))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep or f.name != "text")
+    return rows.mapInArrow(_predict(model, keep), f"{schema}, lang_pred string, score double")
+
+
+def identify(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
+    """doc_id, lang_pred and score of every row."""
+    return _predicted(docs.select("doc_id", "lang", "text"), vocabulary_path, False).drop("lang")
+
+
+def keep_identified(docs: DataFrame, least_score: float, vocabulary_path: str | None = None) -> DataFrame:
+    """The rows of docs, in their own columns, with an identified language whose score is least_score at least."""
+    own = renamed(docs, "doc_id", "lang", "text")
+    known = _predicted(own, vocabulary_path, True).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return known.select(*own.columns).toDF(*docs.columns)
 
 
 def default_vocabulary() -> str:

@@ -259,3 +259,24 @@ def test_rules_decide(sp):
         same += main_text(bare) == main_text(html)
     assert min(rules[r] for r in ("links", "density", "neighbours", "mark")) > len(pages) and rules["mark"] < 0.2 * rules.total()
     assert same >= 0.75 * len(pages)
+
+
+def test_pipeline_odd_rows(sp, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows and ids, and columns named as the stages' own."""
+    en, de = "the cat and the dog of the house went to the river and it was a good day for them all number{} {} ", "der hund und die katze aus dem haus gingen an den fluss und es war ein guter tag zahl{} {} "
+    rows = [(i, (en, de)[i % 2].format(i, i * 7) * (1 + i % 3), ("en", "de")[i % 2], f"s{i % 3}") for i in range(40)]
+    rows += [(3, rows[3][1], "de", "s0"), (3, "a wholly other text that shares the id and that is in english of the same kind", None, None), (None, rows[0][1], "en", "s0"), (None, "this one has no id at all but it is a text of the english kind", None, "s1")]
+    rows += [(100, None, "en", "s1"), (101, "", "de", None), (102, " \n", None, None), (103, "12 34", "en", "s2"), (104, en.format("long", "x") * 4000, "en", "s2"), (None, None, None, None)]
+    odd = [(*r, None if r[1] is None else len(r[1]), 0.5, "x", 7, 8, "y", 9, 1, "z", 2) for r in rows]
+    names = "score double, lang_pred string, _row int, _spans int, size string, copies int, node int, _own4 string, `rank` int"
+    docs = sp.createDataFrame(odd, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    whole = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(sp, docs, "").write.parquet(f"{tmp_path}/{k}")
+        docs = sp.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert docs.columns == whole.columns, name
+            assert {tuple(r) for r in docs.select("score", "lang_pred", "_row", "_spans", "size", "copies", "node", "_own4", "rank").collect()} == {(0.5, "x", 7, 8, "y", 9, 1, "z", 2)}
+    texts = [sorted(r.text for r in sp.read.parquet(f"{tmp_path}/{k}").select("text").collect()) for k in range(2)]
+    assert len(texts[0]) == 45 and len(texts[1]) == len(set(texts[1])) == len(set(texts[0]) - {" \n"}) - sum(1 for t in set(texts[0]) if t not in texts[1])
+    assert all(t in texts[1] for t in (rows[41][1], rows[43][1])) and docs.count() > 0

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 from xxhash import xxh64_intdigest
 
 from millrace.llm import simhash
-from millrace.llm.simhash import BKTree, fingerprint, fingerprint_links, keep_one_of_each, near_duplicates, shard_links
+from millrace.llm.copies import keep_one_of_each
+from millrace.llm.simhash import BKTree, fingerprint, fingerprint_links, near_duplicates, shard_links
 
 
 def plain_fingerprint(text):
@@ -40,12 +42,19 @@ def test_tree():
     rng = random.Random(3)
     members = [rng.getrandbits(64) for _ in range(50)]
     members += [m ^ 1 << rng.randrange(64) for m in members[:20]] + [m ^ 3 for m in members[:5]]
-    tree = BKTree()
-    for m in members:
-        tree.add(m)
-    for m in members:
-        assert sorted(set(tree.within(m, 2))) == sorted({x for x in members if (x ^ m).bit_count() <= 2})
-    assert len(shard_links([0, 1, 2, 3, 4])) == 4
+    members = sorted(set(members))
+    for radius in (0, 2, 9):
+        who, node = BKTree(np.array(members, np.uint64)).within(np.array(members, np.uint64), radius)
+        assert sorted(zip(who.tolist(), node.tolist(), strict=True)) == [(i, j) for i, a in enumerate(members) for j, b in enumerate(members) if (a ^ b).bit_count() <= radius]
+    assert len(shard_links(np.arange(5, dtype=np.uint64))) == 4
+    assert not shard_links(np.zeros(0, np.uint64)) and BKTree(np.zeros(0, np.uint64)).within(np.zeros(3, np.uint64), 2)[0].size == 0
+
+
+def test_trees_prune():
+    members = np.random.default_rng(1).integers(0, 1 << 63, simhash.SHARD, np.uint64)
+    tree = BKTree(members)
+    tree.within(members[:2000], 2)
+    assert tree.met < 0.02 * 2000 * len(members)
 
 
 def test_documents(sp):
@@ -68,7 +77,7 @@ def test_crowded_shards(sp):
         fps |= {s ^ 1 << b for b in range(0, 64, 5)}
     fps = sorted(fps)
     frame = sp.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    for shard in (2, 4096):
+    for shard in (2, 20, 4096):
         links = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in fingerprint_links(frame, shard).collect()]
         assert all((a ^ b).bit_count() <= 2 for a, b in links)
         lab = {f: f for f in fps}
