@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -10,6 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -38,6 +41,40 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+_held: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    """A Python worker's cache for one operator. Workers outlive operators: another's cache is dropped first."""
+    if name not in _held:
+        _held.clear()
+        release()
+    return _held.setdefault(name, {})
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(name: str, run):
+    """A batch function that drops other operators' caches when it begins and gives its memory back when it ends."""
+
+    def whole(batches):
+        cache(name)
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, renamed, stored
+from .common import cache, documents, renamed, stored
 
 SAMPLE_DOCS, SAMPLE_BYTES, ROUNDS, FOLDS = 1000, 1 << 20, 4, 5
 ALPHA, PARTS = 0.01, 16
@@ -282,21 +282,18 @@ class Scorer:
         return names, scores
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _predict(model, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, langs, prob = model.value
-        tag = zlib.crc32(prob.tobytes())
-        if tag not in _scorers:
-            _scorers.clear()
-            _scorers[tag] = Scorer(trie, langs, prob)
+        tag, scorers = zlib.crc32(prob.tobytes()), cache("language")
+        if tag not in scorers:
+            scorers.clear()
+            scorers[tag] = Scorer(trie, langs, prob)
         for b in batches:
             at = b.schema.get_field_index("text")
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                names, scores = _scorers[tag].batch(part.column(at).to_pylist())
+                names, scores = scorers[tag].batch(part.column(at).to_pylist())
                 passed = [k for k in range(b.num_columns) if keep or k != at]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in passed), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(part.schema.names[k] for k in passed), "lang_pred", "score"])
 

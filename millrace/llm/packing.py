@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, ranked, stored
+from .common import cache, documents, partitions, ranked, stored
 
 CAPACITY, END_ID = 2048, 0
 #: Lower-case ASCII and Latin-1 letters, then marks that no such word joins: the tokenizer splits between the two.
@@ -103,14 +103,12 @@ class WordTokens:
             yield b"".join(found)
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tokens:
-            _tokens[path] = WordTokens(path)
-        tok = _tokens[path]
+        known = cache("tokens")
+        if path not in known:
+            known[path] = WordTokens(path)
+        tok = known[path]
         end = end_id.to_bytes(4, "little")
         for b in batches:
             for at in range(0, b.num_rows, 256):

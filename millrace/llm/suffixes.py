@@ -35,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, numbered, partitions, renamed, scan_bytes, stored
+from .common import documents, lean, numbered, partitions, renamed, scan_bytes, stored
 
 LENGTH, K = 100, 32
 CROWD, HORDE, CHUNK, BLOCK, STRETCH = 512, 8192, 8, 1 << 20, 1 << 21
 #: Bytes of the table's files for each bucket of fragments.
 BUCKET = 4 << 20
-DOCS = 500
+#: Texts that are cut into fragments, and that are read again, at a time.
+ANCHORED, DOCS = 2500, 500
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -198,7 +199,7 @@ def _anchors(length: int, buckets: int, stretch: int):
     """(bucket, kind, blob): fragments for each bucket, and repeats settled within the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, ANCHORED) for whole in batches for i in range(0, whole.num_rows, ANCHORED)):
             docs = np.array([_NULL if d is None else d for d in b.column(0).to_pylist()], np.int64)
             rows, raw = b.column(1).to_numpy(), _raw(b.column(2))
             found = []
@@ -459,11 +460,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, stretch:
     n = partitions(spark)
     texts = docs.select("doc_id", "_row", "text")
     buckets = max(n, min(scan_bytes(docs) // BUCKET, 1 << 30))
-    blobs = texts.mapInArrow(_anchors(length, buckets, stretch), "bucket int, kind int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    met = stored(blobs.mapInArrow(_meet(crowd, horde), _OUT), "repeats")
+    blobs = texts.mapInArrow(lean("suffixes", _anchors(length, buckets, stretch)), "bucket int, kind int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    met = stored(blobs.mapInArrow(lean("suffixes", _meet(crowd, horde)), _OUT), "repeats")
     asked = met.where(F.col("kind") != MARK).groupBy("row").agg(F.collect_list(F.struct("start", "n", "h", "d", "kind")).alias("asked")).withColumnRenamed("row", "_row")
-    again = texts.join(asked, "_row").select("doc_id", "_row", "text", "asked").mapInArrow(_read_again(length), "key long, doc long, row long, start long, n long, bytes binary")
-    sorted_ = again.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_fragments(length), "row long, start long, n long")
+    again = texts.join(asked, "_row").select("doc_id", "_row", "text", "asked").mapInArrow(lean("suffixes", _read_again(length)), "key long, doc long, row long, start long, n long, bytes binary")
+    sorted_ = again.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean("suffixes", _sort_fragments(length)), "row long, start long, n long")
     marks = stored(sorted_, "marks").union(met.where(F.col("kind") == MARK).select("row", "start", "n"))
     return marks.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).withColumnRenamed("row", "_row")
 

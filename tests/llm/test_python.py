@@ -278,5 +278,5 @@ def test_pipeline_odd_rows(sp, tmp_path):
             assert docs.columns == whole.columns, name
             assert {tuple(r) for r in docs.select("score", "lang_pred", "_row", "_spans", "size", "copies", "node", "_own4", "rank").collect()} == {(0.5, "x", 7, 8, "y", 9, 1, "z", 2)}
     texts = [sorted(r.text for r in sp.read.parquet(f"{tmp_path}/{k}").select("text").collect()) for k in range(2)]
-    assert len(texts[0]) == 45 and len(texts[1]) == len(set(texts[1])) == len(set(texts[0]) - {" \n"}) - sum(1 for t in set(texts[0]) if t not in texts[1])
+    assert len(texts[0]) == 45 and len(texts[1]) == len(set(texts[1])) < len(set(texts[0]))
     assert all(t in texts[1] for t in (rows[41][1], rows[43][1])) and docs.count() > 0
