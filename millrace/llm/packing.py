@@ -28,7 +28,8 @@ CAPACITY, END_ID = 2048, 0
 #: Lower-case ASCII and Latin-1 letters, then marks that no such word joins: the tokenizer splits between the two.
 _PLAIN = regex.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 _MARKS = b".,;:!?|"
-_CACHE = 800_000
+#: Chunks of the newer half of the cache, and words.
+_CACHE = 200_000
 _END = "</w>"
 
 
@@ -37,7 +38,8 @@ class WordTokens:
 
     The tokenizer drops white space and never joins across it, and lower-cases before all else that it does, so the
     ids of a text are those of its lower-cased chunks in turn. Texts that hold "<|" go to it whole, as special
-    tokens are matched before all that. The cache is bounded; ids are kept as little-endian uint32 bytes.
+    tokens are matched before all that. The cache is bounded: when its newer half is full it becomes the older one, from which
+    chunks in use are taken over; ids are kept as little-endian uint32 bytes.
     """
 
     def __init__(self, path: str):
@@ -48,6 +50,7 @@ class WordTokens:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith(_END)
         self.chunks: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.marks: dict[bytes, bytes] = {b"": b""}
 
@@ -71,6 +74,9 @@ class WordTokens:
     def learn(self, chunks: list[bytes]) -> None:
         split, odd = [], []
         for c in chunks:
+            if (ids := self.older.get(c)) is not None:
+                self.chunks[c] = ids
+                continue
             word = c.rstrip(_MARKS)
             if word.isalpha() or _PLAIN.fullmatch(word):
                 split.append((c, word, c[len(word) :]))
@@ -86,7 +92,7 @@ class WordTokens:
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         if len(self.chunks) > _CACHE:
-            self.chunks.clear()
+            self.older, self.chunks = self.chunks, {}
         known = self.chunks
         for text in texts:
             text = text or ""
