@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from .common import documents, lean, numbered, partitions, renamed, scan_bytes, stored
 
 LENGTH, K = 100, 32
-CROWD, HORDE, CHUNK, BLOCK, STRETCH = 512, 8192, 8, 1 << 20, 1 << 21
+CROWD, HORDE, CHUNK, BLOCK, STRETCH = 512, 8192, 8, 1 << 19, 1 << 20
 #: Bytes of the table's files for each bucket of fragments.
 BUCKET = 4 << 20
 #: Texts that are cut into fragments, and that are read again, at a time.
-ANCHORED, DOCS = 2500, 500
+ANCHORED, DOCS = 1500, 500
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
