@@ -30,6 +30,8 @@ _PLAIN = regex.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 _MARKS = b".,;:!?|"
 #: Chunks of the newer half of the cache, and words.
 _CACHE = 200_000
+#: Pieces of a length under one salt at most.
+SALTED = 1 << 16
 _END = "</w>"
 
 
@@ -194,15 +196,18 @@ def _placed(rows: list[tuple], columns: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """sequence_id and offset beside the columns of token_pieces.
 
-    Pieces of one length are ranked under a salt, so a length that a third of all rows share is dealt over all
-    tasks. Only the histogram (capacity rows at most) reaches the driver; only the plan made of it reaches the tasks.
+    Pieces of one length are ranked under salts, as many as its pieces need, so a length that a third of all rows share is
+    dealt over all tasks, and salts are few beside the rows. Only the histogram (capacity rows at most) reaches the
+    driver; only it and the plan made of it reach the tasks.
     """
     spark = pieces.sparkSession
     kept = stored(pieces, "pieces")
     counts = {r.length: r.n for r in kept.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, _ = plan_bins(counts, capacity)
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(4 * partitions(spark)))
-    with_rank = ranked(kept, ["length"], [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")], salt)
+    each = max(1, min(SALTED, sum(counts.values()) // (4 * partitions(spark))))
+    salts = F.broadcast(spark.createDataFrame([(x, -(-n // each)) for x, n in counts.items()], "length long, salts long"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))
+    with_rank = ranked(kept.join(salts, "length"), ["length"], [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")], salt)
     names = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return with_rank.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placed(rows, 5), names + ", sequence_id long, offset long")
 
