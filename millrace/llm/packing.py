@@ -29,7 +29,7 @@ CAPACITY, END_ID = 2048, 0
 _PLAIN = regex.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 _MARKS = b".,;:!?|"
 #: Chunks of the newer half of the cache, and words.
-_CACHE = 200_000
+_CACHE = 300_000
 #: Pieces of a length under one salt at most.
 SALTED = 1 << 16
 _END = "</w>"
