@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from millrace.llm import packing
 from millrace.llm.packing import WordTokens, default_tokenizer, fullest, pack, plan_bins, token_pieces
 
 TEXTS = [None, "", "   ", "Hello, world!! it's 12.5% of İstanbul", "naïve café — “quoted”… Ünïcödé ß Straße.", "a b c é É.", "<|startoftext|> x <|ENDOFTEXT|><|endoftext|>", "don't, y'all'd've; 'tis", "word. Word, WORD! word| word:word", "日本語 текст ελληνικά ΣΑΣ", "x" * 9000, "the of and " * 4000, "\x1c a\x1fb \x85 c", "퟿ \U0001f600!!", "ñandú, niño; übér?!", "a+b=c #tag @me"]
@@ -66,3 +67,19 @@ def test_round_trip(sp, capacity):
     total = sum(r.length for r in got)
     assert len(bins) <= -(-total // capacity) * 1.1 + 1
     assert pack(token_pieces(d.where("false"), default_tokenizer())).count() == 0
+
+
+@pytest.mark.parametrize("salted", [1, 7, 1 << 16])
+def test_a_length_of_many_pieces(sp, monkeypatch, salted):
+    """One length holds most pieces, under many salts or few: each piece has a place, and places are gapless."""
+    monkeypatch.setattr(packing, "SALTED", salted)
+    lengths = [30] * 500 + [100] * 20 + list(range(1, 60))
+    d = sp.createDataFrame([(i % 300, i // 300, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = pack(d, 100).collect()
+    assert sorted((r.doc_id, r.piece, r.length) for r in got) == sorted((i % 300, i // 300, n) for i, n in enumerate(lengths))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 100
