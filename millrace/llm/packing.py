@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cache, documents, partitions, ranked, stored
+from .common import cache, documents, partitions, ranked, release, stored
 
 CAPACITY, END_ID = 2048, 0
 #: Lower-case ASCII and Latin-1 letters, then marks that no such word joins: the tokenizer splits between the two.
@@ -128,6 +128,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                         piece = ids[a : a + 4 * capacity]
                         out.append((doc, k, a // 4, len(piece) // 4, zlib.crc32(piece)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()  # the cache stays for the next task, the rest doesn't
 
     return run
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import documents, lean, numbered, partitions, renamed, scan_bytes, stored
 
 LENGTH, K = 100, 32
-CROWD, HORDE, CHUNK, BLOCK, STRETCH = 512, 8192, 8, 1 << 19, 1 << 20
+CROWD, HORDE, CHUNK, BLOCK, STRETCH = 512, 8192, 8, 1 << 19, 1 << 17
 #: Bytes of the table's files for each bucket of fragments.
 BUCKET = 4 << 20
 #: Texts that are cut into fragments, and that are read again, at a time.

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import suffixes
@@ -133,3 +135,18 @@ def test_no_byte_goes_on_hashes_alone(sp, monkeypatch):
 def test_clashing_names(sp):
     d = sp.createDataFrame([(1, "é" * 300, 7, "a", 1.0), (2, "x" + "é" * 300, 8, "b", 2.0)], "doc_id long, text string, _row int, _spans string, _own0 double")
     assert sorted(map(tuple, without_repeats(d).collect()))[1] == (2, "x", 8, "b", 2.0)
+
+
+def test_batches_take_little_memory():
+    """Cutting a few MB of texts into fragments takes bounded memory beside them, one text of 2 MB or many of 2 kB."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    whole = " ".join(words)[:2_000_000]
+    for texts in ([whole], [whole[i : i + 2000] for i in range(0, len(whole), 2000)]):
+        b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "_row", "text"])
+        tracemalloc.start()
+        for _ in suffixes._anchors(suffixes.LENGTH, 8, suffixes.STRETCH)(iter([b])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 50e6, peak
