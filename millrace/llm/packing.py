@@ -28,7 +28,7 @@ CAPACITY, END_ID = 2048, 0
 #: Lower-case ASCII and Latin-1 letters, then marks that no such word joins: the tokenizer splits between the two.
 _PLAIN = regex.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 _MARKS = b".,;:!?|"
-#: Chunks of the newer half of the cache, and words.
+#: Chunks of the newer half of the cache, and words: fewer take less memory and more time.
 _CACHE = 300_000
 #: Pieces of a length under one salt at most.
 SALTED = 1 << 16
@@ -44,9 +44,10 @@ class WordTokens:
     chunks in use are taken over; ids are kept as little-endian uint32 bytes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int = _CACHE):
         from tokenizers import Tokenizer
 
+        self.held = held
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -84,7 +85,7 @@ class WordTokens:
                 split.append((c, word, c[len(word) :]))
             else:
                 odd.append(c)
-        if len(self.words) > _CACHE:
+        if len(self.words) > self.held:
             self.words.clear()
         self._learn_words(list({w for _, w, _ in split if w not in self.words}))
         for marks in {m for _, _, m in split if m not in self.marks}:
@@ -93,7 +94,7 @@ class WordTokens:
         self.chunks.update([(c, self._ids(c.decode("utf-8", "replace"))) for c in odd])
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.chunks) > _CACHE:
+        if len(self.chunks) > self.held:
             self.older, self.chunks = self.chunks, {}
         known = self.chunks
         for text in texts:
@@ -111,12 +112,13 @@ class WordTokens:
             yield b"".join(found)
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, held: int = _CACHE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = cache("tokens")
         if path not in known:
             known[path] = WordTokens(path)
         tok = known[path]
+        tok.held = held
         end = end_id.to_bytes(4, "little")
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -132,9 +134,12 @@ def _pieces(path: str, capacity: int, end_id: int):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's ids and the end id, cut at multiples of capacity."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, held: int = _CACHE) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every document's ids and the end id, cut at multiples of capacity.
+
+    A worker keeps the ids of some 2 * held chunks; that bounds its memory and changes no result.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end_id, held), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], room: int) -> Counter:
@@ -205,7 +210,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r.length: r.n for r in kept.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, _ = plan_bins(counts, capacity)
     each = max(1, min(SALTED, sum(counts.values()) // (4 * partitions(spark))))
-    salts = F.broadcast(spark.createDataFrame([(x, -(-n // each)) for x, n in counts.items()], "length long, salts long"))
+    # From an Arrow table: a list would start a second Python daemon with workers of its own on each executor.
+    table = pa.table({"length": pa.array(list(counts), pa.int64()), "salts": pa.array([-(-n // each) for n in counts.values()], pa.int64())})
+    salts = F.broadcast(spark.createDataFrame(table))
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))
     with_rank = ranked(kept.join(salts, "length"), ["length"], [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")], salt)
     names = "doc_id long, piece int, start long, length long, ids_crc32 long"

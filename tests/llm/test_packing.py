@@ -3,9 +3,11 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from millrace.llm import packing
 from millrace.llm.packing import WordTokens, default_tokenizer, fullest, pack, plan_bins, token_pieces
 
@@ -83,3 +85,38 @@ def test_a_length_of_many_pieces(sp, monkeypatch, salted):
     for b in bins.values():
         b.sort()
         assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 100
+
+
+def test_packing_starts_no_second_kind_of_worker(sp, monkeypatch):
+    """Lists made into frames go through Python workers and a daemon of their own, which stay on the executors."""
+    d = sp.createDataFrame([(i, 0, 0, 1 + i % 9, i) for i in range(50)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+    def refused(*_):
+        raise AssertionError("a list was parallelized")
+
+    monkeypatch.setattr(type(sp.sparkContext), "parallelize", refused)
+    assert pack(d, 100).count() == 50
+    assert pack(d.where("false"), 100).count() == 0
+
+
+def test_the_pipeline_holds_few_chunks(monkeypatch):
+    """The pipeline's packing workers keep some 2 * HELD_CHUNKS chunks, and give the ids that op2's give."""
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(corpus_pipeline, "ship", lambda _: None)
+    monkeypatch.setattr(packing, "pack", lambda pieces: pieces)
+    texts = [" ".join(f"{k:x}-{i}" for i in range(256)) for k in range(1100)]
+    texts += texts[:300]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got, want = (pa.Table.from_batches(run(iter([b]))) for run in (corpus_pipeline.packed(None, Docs(), ""), token_pieces(Docs(), default_tokenizer())))
+    assert got == want
+    packing.cache("other")  # drops the tokens
+    pa.Table.from_batches(corpus_pipeline.packed(None, Docs(), "")(iter([b])))
+    tok = packing.cache("tokens")[default_tokenizer()]
+    assert len(tok.chunks) + len(tok.older) <= 2 * (50_000 + 256 * 256)
